@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tesserine.llm import packing
+from tesserine.llm import packing, simhash, tokenids
 
 QUERIES = {
     "op2_karmarkar_karp_packing": packing.op2_pack,
+    "op3_repair_token_ids": tokenids.op3_token_ids,
+    "op9_simhash_vp_tree": simhash.op9_near_dedup,
 }
 ORACLE_SQL: dict = {}
