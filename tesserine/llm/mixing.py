@@ -130,7 +130,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rated = sized.join(F.broadcast(at), "key").withColumn("rate", F.least(F.lit(MOST), F.round(raw, 8)))
     rated = rated.withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    place = F.when(F.col("part") > 0, F.least(F.floor(draw / F.col("part") * (DRAWS // 2)), F.lit(DRAWS - 1))).otherwise(DRAWS - 1)
+    # draws below the fraction fill the lower half of the buckets, the others the upper half, so
+    # that a class can also make up for what larger documents left over
+    p, half = draw / F.col("part"), DRAWS // 2
+    spread = F.when(p < 1, F.floor(p * half)).otherwise(half + F.floor((1 - 1 / p) * (half - 1)))
+    place = F.when(F.col("part") > 0, spread).otherwise(DRAWS - 1)
     rated = rated.withColumn("bucket", place.cast("int"))
     rated = rated.withColumn("level", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
     cube = rated.filter("size > 0").groupBy("key", "level", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("part")).alias("need")).collect()
