@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tesserine.llm import mixing, packing, rules, simhash, tokenids
+from tesserine.llm import langid, mixing, packing, rules, simhash, tokenids
 
 QUERIES = {
     "op1_risk_controlled_rules": rules.op1_quality_rules,
     "op2_karmarkar_karp_packing": packing.op2_pack,
     "op3_repair_token_ids": tokenids.op3_token_ids,
     "op5_entropy_balancing": mixing.op5_mix,
+    "op7_naive_bayes_language": langid.op7_language,
     "op9_simhash_vp_tree": simhash.op9_near_dedup,
 }
 ORACLE_SQL = {**rules.ORACLE_SQL}
