@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm import langid, mixing, packing, rules, simhash, tokenids
+from tesserine.llm import langid, mixing, packing, quality, rules, simhash, tokenids, toxicity
 
 QUERIES = {
     "op1_risk_controlled_rules": rules.op1_quality_rules,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_repair_token_ids": tokenids.op3_token_ids,
     "op5_entropy_balancing": mixing.op5_mix,
     "op7_naive_bayes_language": langid.op7_language,
+    "op8_convolutional_toxicity": toxicity.op8_toxicity,
     "op9_simhash_vp_tree": simhash.op9_near_dedup,
+    "op10_attention_quality": quality.op10_quality,
 }
 ORACLE_SQL = {**rules.ORACLE_SQL}
