@@ -9,6 +9,7 @@ from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java regex of the separators between words: ASCII white space only.
 WS = r"[\x20\x09-\x0D]+"
@@ -53,6 +54,19 @@ def drop_scratch(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_of(docs: DataFrame, keep: tuple[str, ...]) -> list:
+    """The column ``row``, a struct of the columns to keep; none if there are none."""
+    return [F.struct(*[docs[c] for c in keep]).alias("row")] if keep else []
+
+
+def with_row(schema: str, docs: DataFrame, keep: tuple[str, ...]):
+    """``schema`` with row_of()'s column."""
+    if not keep:
+        return schema
+    row = T.StructType([docs.schema[c] for c in keep])
+    return T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("row", row)])
+
+
 def words_col(text) -> "F.Column":
     """Array of the words of a text; empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import scratch, table, word_count
+from tesserine.llm.common import row_of, scratch, table, word_count
 
 MOST = 3.0
 DRAWS = 256
@@ -104,14 +104,15 @@ def _draws(cube: list, need: dict) -> list[tuple]:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-        max_sources: int = 10_000) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken of every document."""
+        max_sources: int = 10_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies and taken of every document; with
+    ``keep``, also a struct ``row`` of these columns."""
     spark = docs.sparkSession
     source = F.col(source_col).cast("string")
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), source.alias("source"),
         F.when(source.isNull(), "0").otherwise(F.concat(F.lit("1"), source)).alias("key"),
-        word_count(F.col(text_col).cast("string")).alias("size"),
+        word_count(F.col(text_col).cast("string")).alias("size"), *row_of(docs, keep),
     )
     sized = scratch(sized, "sizes")
     histogram = scratch(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "histogram")
@@ -145,7 +146,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn = _literals(spark, cuts, "key string, level int, cut int")
     copies = (F.col("base") + F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)).cast("long")).cast("long")
     return rated.join(F.broadcast(drawn), ["key", "level"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
+        *["row"] * bool(keep),
     )
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import WS_CHARS, slices, table
+from tesserine.llm.common import WS_CHARS, row_of, slices, table, with_row
 from tesserine.llm.textnum import bounded, codes, letters, mix, remainder, word_hashes, words
 
 PASSAGE = 64
@@ -197,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return Attention(x, np.concatenate([[0], np.cumsum(size)]), rows["y"].to_numpy(np.float32))
 
 
-def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every document."""
+def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and score of every document; with ``keep``, also a struct ``row`` of these columns."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -207,10 +207,11 @@ def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for first, texts in slices(batch, "text", 4 << 20):
                 found = known.value.score(*passages(texts.to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(found)], ["doc_id", "score"])
+                rest = [batch.column("row").slice(first, len(texts))] if keep else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(found), *rest], ["doc_id", "score"] + ["row"] * len(rest))
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, score double")
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_of(docs, keep))
+    return cols.mapInArrow(run, with_row("doc_id long, score double", docs, keep))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tesserine.llm import langid, mixing, packing, quality, rules, simhash, tokenids, topk, toxicity
+from tesserine.llm import langid, mixing, packing, quality, repeats, rules, simhash, tokenids, topk, toxicity
 
 QUERIES = {
     "op1_risk_controlled_rules": rules.op1_quality_rules,
     "op2_karmarkar_karp_packing": packing.op2_pack,
     "op3_repair_token_ids": tokenids.op3_token_ids,
+    "op4_bwt_merge_dedup": repeats.op4_repeats,
     "op5_entropy_balancing": mixing.op5_mix,
     "op6_threshold_topk": topk.op6_topk,
     "op7_naive_bayes_language": langid.op7_language,

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import drop_scratch, scratch, table
+from tesserine.llm.common import drop_scratch, row_of, scratch, table, with_row
 
 SEED = 42
 ONE = np.uint64(1)
@@ -56,8 +56,9 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every document."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fingerprint (as a signed long) of every document; with ``keep``, also a struct
+    ``row`` of these columns."""
 
     def run(batches):
         import pyarrow as pa
@@ -65,10 +66,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = batch.column("text")
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            rest = [batch.column("row")] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *rest], ["doc_id", "fp"] + ["row"] * len(rest))
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, fp long")
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_of(docs, keep))
+    return cols.mapInArrow(run, with_row("doc_id long, fp long", docs, keep))
 
 
 # -- vantage-point tree -----------------------------------------------------
@@ -260,6 +262,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, **tree) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: of each group the one with the least id stays
+    (a null id only where there is no other; one row of several with that id)."""
+    rows = fingerprints(docs, id_col, text_col, shingle, tuple(docs.columns))
+    rows = scratch(rows.withColumn("place", F.monotonically_increasing_id()), "rows")
+    groups = near_groups(rows.select("doc_id", "fp"), bits, **tree)
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("place")))
+    of_fp = rows.groupBy("fp").agg(best.alias("best"))  # one row a fingerprint before the groups meet
+    stay = of_fp.join(groups, "fp").groupBy("component_id").agg(F.min("best").alias("best")).select(F.col("best.place").alias("place"))
+    return rows.join(stay, "place", "left_semi").select("row.*")
+
+
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
