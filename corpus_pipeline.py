@@ -1,13 +1,64 @@
-"""The corpus pipeline: STAGES applied one after another to documents."""
+"""The corpus pipeline: STAGES applied one after another to documents.
+
+Every stage but the last returns the columns of documents. Stages carry whole rows through their
+operators, so null or repeated ids lose nothing.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tesserine.llm import mixing, packing, quality, repeats, simhash
 from tesserine.llm.common import scratch, table
+from tesserine.llm.textnum import remainder
 
-STAGES: list = []
+#: Not SQL: the stages score, fingerprint, encode and pack with trained or hashed models.
 ORACLE_SQL = None
 
 
+def good_quality(spark, docs, sf_dir):
+    """Documents that the quality classifier scores 0.5 or more. It learns from the labels that
+    the operator's own query learns from."""
+    held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    return quality.score(docs, model, keep=tuple(docs.columns)).filter("score >= 0.5").select("row.*")
+
+
+def one_of_near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near duplicates, that with the least doc_id."""
+    return simhash.one_of_each(docs)
+
+
+def without_repeats(spark, docs, sf_dir):
+    """All documents, without the bytes of strings that a document with a smaller doc_id
+    holds; a null text becomes empty."""
+    rest = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    cut = repeats.remove_repeats(docs, keep=rest, whole_characters=True)
+    text = F.col("kept").cast("string")
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return cut.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def mixed_sources(spark, docs, sf_dir):
+    """As many copies of each document as the mix takes."""
+    mix = mixing.mix(docs, keep=tuple(docs.columns))
+    return mix.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
+
+
+def packed(spark, docs, sf_dir):
+    """The pieces of the packed sequences, with their ids."""
+    return packing.pack(docs, keep_ids=True)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_near_duplicates),
+    ("repeats", without_repeats),
+    ("mixing", mixed_sources),
+    ("packing", packed),
+]
+
+
 def run(spark, sf_dir):
     """Apply every stage to documents; each stage's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
