@@ -333,10 +333,10 @@ def smaller(frags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int)
     n_first = n[first]
     size = n_first + length - 1
     held = np.cumsum(size)
-    target = max(1, int(held[-1]) // 200)
+    target = max(1, int(held[-1]) // 32)
     run = np.cumsum(np.diff(shard[first], prepend=-1) > 0) - 1  # shards in turn; small neighbours share a transform
     weight = np.cumsum(np.bincount(run, size))
-    run = (np.floor((weight - 1) / target).astype(np.int64))[run] if run[-1] > 200 else run
+    run = (np.floor((weight - 1) / target).astype(np.int64))[run] if run[-1] > 32 else run
     run = np.cumsum(np.diff(run, prepend=-1) > 0) - 1
     shown = _shown(n_first, length)
     flat = as_bytes(rows[first])[shown]
@@ -405,7 +405,7 @@ def shards(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 8 << 20,
-                   hot: int = 1 << 14, merge_bytes: int = 8 << 20, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+                   hot: int = 1 << 14, merge_bytes: int = 1 << 19, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """doc_id, kept (the bytes left) and spans (start and length of each removed run, in bytes of
     the text) of every document; with ``keep``, also a struct ``row`` of these columns. With
     ``whole_characters``, what a cut leaves of a character goes as well."""
@@ -480,7 +480,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held = sum(int(n.sum()) + (length - 1) * len(n) for _, n, _ in own)
         turns = min(256, -(-held // merge_bytes))
         marks = [np.zeros((len(n), length - WORD + 1), bool) for _, n, _ in own]
-        for turn in range(turns):  # a large bucket in parts; equal strings are in the same
+        for turn in range(turns):  # in parts that a core's cache holds; equal strings are in the same
             at = [np.flatnonzero(sub % turns == turn) for sub in subs] if turns < 256 else [np.flatnonzero(sub == turn) for sub in subs]
             used = [k for k, x in enumerate(at) if len(x)]
             found = smaller([tuple(x[at[k]] for x in own[k]) for k in used], length) if used else []
