@@ -101,8 +101,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, candidates: int
     n, m = vectors.count(), queries.count()
     c_blocks, q_blocks = max(1, -(-n // candidates)), max(1, -(-m // query_rows))
     block = lambda b: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(b))
-    left = vectors.withColumn("c", block(c_blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
-    right = queries.withColumn("q", block(q_blocks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("long"))
+    left = vectors.withColumn("c", block(c_blocks)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+    right = queries.withColumn("q", block(q_blocks)).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
 
     def meet(a, b):
         import pyarrow as pa
