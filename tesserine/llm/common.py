@@ -102,7 +102,7 @@ class Encoder:
     white-space separated chunks one after another. A column's distinct chunks are looked up; a
     new chunk of Latin-1 characters is cut into the tokenizer's own units (runs of letters,
     digits, runs of other signs), of which each new one goes to the library; any other new chunk
-    goes there whole. Each memory holds about ``keep`` entries at most, then it starts anew.
+    goes there whole. The memories hold about ``keep`` chunks and ``keep_units`` units at most, then they start anew.
     """
 
     #: Chunks whose units the pattern below finds as the tokenizer does.
@@ -110,11 +110,11 @@ class Encoder:
     LETTERS = "a-z\xdf-\xf6\xf8-\xff"
     UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_000_000, keep_units: int = 600_000):
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.tokenizer, self.keep, self.keep_units = Tokenizer.from_file(path), keep, keep_units
         self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
@@ -168,7 +168,7 @@ class Encoder:
 
         if len(self.known) > self.keep:
             self.known.clear()
-        if len(self.units) > self.keep:
+        if len(self.units) > self.keep_units:
             self.units.clear()
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         bounds = np.asarray(lists.offsets).astype(np.int64)
