@@ -46,8 +46,9 @@ def mixed_sources(spark, docs, sf_dir):
 
 
 def packed(spark, docs, sf_dir):
-    """The pieces of the packed sequences, with their ids."""
-    return packing.pack(docs, keep_ids=True)
+    """The pieces of the packed sequences, with their ids. The executors still hold what earlier
+    stages left in memory, so the encoder remembers less than by default."""
+    return packing.pack(docs, keep_ids=True, keep_chunks=600_000)
 
 
 STAGES = [

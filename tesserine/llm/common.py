@@ -185,17 +185,19 @@ class Encoder:
         return flat[at], ends[bounds - bounds[0]]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
+#: Encoded chunks that a Python worker remembers, about 200 bytes each.
+KEEP_CHUNKS = 1_000_000
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = KEEP_CHUNKS) -> Encoder:
     """The worker's encoder for a tokenizer file, made once in each Python worker."""
-    if path not in _encoders:
+    if (path, keep) not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, keep] = Encoder(path, keep)
+    return _encoders[path, keep]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -25,7 +25,7 @@ from bisect import insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import END_ID, encoder, slices, tokenizer_path
+from tesserine.llm.common import END_ID, KEEP_CHUNKS, encoder, slices, tokenizer_path
 
 CAPACITY = 2048
 #: Tokens of items that one group holds: about 512 windows.
@@ -97,10 +97,13 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         group_tokens: int = GROUP_TOKENS, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+         group_tokens: int = GROUP_TOKENS, tokenizer: str | None = None, keep_ids: bool = False,
+         keep_chunks: int = KEEP_CHUNKS) -> DataFrame:
     """Pieces of all documents with their sequence and place in it.
 
     With ``keep_ids``, each piece also carries its ids as little-endian uint32 bytes.
+    ``keep_chunks`` bounds what a worker remembers of encoded text; fewer take less memory and
+    more time, and give the same pieces.
     """
     path = tokenizer or tokenizer_path()
     end = END_ID.to_bytes(4, "little")
@@ -109,7 +112,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc = encoder(path)
+        enc = encoder(path, keep_chunks)
         #: sequence ids of different tasks never meet
         base, count = TaskContext.get().partitionId() << 33, 0
         items: list[tuple] = []
