@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserine.llm import mixing, packing, quality, repeats, simhash
+from tesserine.llm import mixing, packing, quality, repeats, similar, simhash
 from tesserine.llm.common import scratch, table
 from tesserine.llm.textnum import remainder
 
@@ -29,6 +29,12 @@ def one_of_near_duplicates(spark, docs, sf_dir):
     return simhash.one_of_each(docs)
 
 
+def one_of_similar(spark, docs, sf_dir):
+    """One document of each group of near duplicates, as above, and of these one of each group whose
+    five-word shingles have similarity 0.8 or more."""
+    return similar.one_of_similar(one_of_near_duplicates(spark, docs, sf_dir))
+
+
 def without_repeats(spark, docs, sf_dir):
     """All documents, without the bytes of strings that a document with a smaller doc_id
     holds; a null text becomes empty."""
@@ -53,7 +59,7 @@ def packed(spark, docs, sf_dir):
 
 STAGES = [
     ("quality", good_quality),
-    ("near_duplicates", one_of_near_duplicates),
+    ("near_duplicates", one_of_similar),
     ("repeats", without_repeats),
     ("mixing", mixed_sources),
     ("packing", packed),
