@@ -4,9 +4,9 @@ Words (runs of letters, in lower case) and their prefixes are hashed into a tabl
 widths slide over all words of the whole text; each filter's largest response in the text, through
 a rectifier, feeds one logistic unit. Training uses Adam on at most ``max_each`` labelled documents
 of either class, drawn by a hash of their id; the intercept is then set back to the true shares of
-the classes. For each language a threshold with the fewest weighted errors is chosen on a part
-of the training rows that the network has not seen, and the score is shifted so that it is 0.5
-there. The language is that which the naive Bayes model reads from the text itself.
+the classes. For each language a threshold with the fewest weighted errors is chosen on all
+labelled rows that the network has not seen (a fifth of the draw, and whatever was not drawn), from
+counts by language and binned logit, and the score is shifted so that it is 0.5 there. The language is that which the naive Bayes model reads from the text itself.
 
 Scoring applies the filters once to each distinct word of a batch and then only adds rows.
 
@@ -34,6 +34,8 @@ PREFIXES = (4, 5, 7)
 MAX_EACH = 4_000
 #: Toxic rows of a language below which the common threshold holds.
 LEAST_OF_LANG = 30
+#: Bins of a logit's unit in the counts that the thresholds come from, and the largest logit there.
+BINS, MOST = 64, 16
 
 
 def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,20 +150,20 @@ class Cnn:
         names = [*langs.langs, "und"]
         return sigmoid(found - np.array([self.shift.get(names[k], self.shift.get("", 0.0)) for k in best]))
 
-    def calibrate(self, ids: np.ndarray, offsets: np.ndarray, y: np.ndarray, lang: np.ndarray, weight: np.ndarray, names: list[str]) -> None:
-        """Set each language's threshold, as a logit, from rows that were not trained on."""
-        if self.constant is not None or not len(y):
+    def calibrate(self, counts, n: dict) -> None:
+        """Set each language's threshold, as a logit, from ``counts``: the number (n) of labelled
+        documents that were not trained on by lang, bin and y. ``n``: labelled documents of each class."""
+        if self.constant is not None or not len(counts):
             return
-        found = []
-        for k in range(0, len(y), 64):
-            some = offsets[k : k + 65]
-            found.append(self.logits(ids[some[0] : some[-1]], some - some[0]))
-        found, cost = np.concatenate(found), np.asarray(weight, float)[y.astype(int)]
-        self.shift[""] = threshold(found, y, cost)
-        for k in set(lang.tolist()) - {-1}:
-            own = lang == k
-            if (y[own] > 0).sum() >= LEAST_OF_LANG and (y[own] == 0).sum() >= LEAST_OF_LANG:
-                self.shift[names[k]] = threshold(found[own], y[own], cost[own])
+        of = counts.groupby("y")["n"].sum()
+        cost = counts["n"] * counts["y"].map({y: n[y] / of[y] for y in of.index})
+        logit, y = (counts["bin"].to_numpy(float) + 0.5) / BINS, counts["y"].to_numpy()
+        self.shift[""] = threshold(logit, y, cost.to_numpy(float))
+        for lang, own in counts.groupby("lang"):
+            sizes = own.groupby("y")["n"].sum()
+            if lang != "und" and min(sizes.get(0, 0), sizes.get(1, 0)) >= LEAST_OF_LANG:
+                at = counts["lang"].to_numpy() == lang
+                self.shift[lang] = threshold(logit[at], y[at], cost.to_numpy(float)[at])
 
 
 def threshold(logit: np.ndarray, y: np.ndarray, cost: np.ndarray) -> float:
@@ -182,37 +184,57 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     n = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
     buckets = 1 << 20
     share = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, min(buckets, max_each * buckets // max(1, n.get(y, 0))))])[F.col("y")]
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(buckets)) < share)
+    own = own.withColumn("drawn", F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(buckets)) < share)
+    drawn = own.filter("drawn")
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     chosen = cols.join(F.broadcast(drawn), "doc_id")
-    langs = langid.fit(chosen, "text", "lang", per_lang=2 * max_each)
+    every = cols.join(own, "doc_id")
+    langs = langid.fit(every, "text", "lang", per_lang=2 * max_each)
 
     def run(batches):
         import pyarrow as pa
 
-        known = sent.value
         for batch in batches:
             for first, texts in slices(batch, "text", 4 << 20):
-                own = texts.to_pylist()
-                ids, offsets = word_ids(own)
+                ids, offsets = word_ids(texts.to_pylist())
                 raw = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), batch.column("y").slice(first, len(texts)), pa.array(raw, pa.binary()), pa.array(known.score(own)[0].astype(np.int32))], ["doc_id", "y", "ids", "lang"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), batch.column("y").slice(first, len(texts)), pa.array(raw, pa.binary())], ["doc_id", "y", "ids"])
 
-    sent = docs.sparkSession.sparkContext.broadcast(langs)
-    rows = chosen.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids binary, lang int").toPandas()
-    rows = rows.sort_values(["doc_id", "ids"], ignore_index=True)
+    def aside(ids: np.ndarray) -> np.ndarray:  # a fifth, for the thresholds
+        return ids * 2654435761 % 4294967296 % 5 == 0
+
+    rows = chosen.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids binary").toPandas()
+    rows = rows[~aside(rows["doc_id"].to_numpy(np.int64))].sort_values(["doc_id", "ids"], ignore_index=True)
     y = rows["y"].to_numpy(np.float32)
     got = np.array([(y == 0).sum(), (y == 1).sum()])
     weight = np.array([n.get(0, 0), n.get(1, 0)]) / np.maximum(got, 1)
-    aside = rows["doc_id"].to_numpy(np.int64) * 2654435761 % 4294967296 % 5 == 0  # for the thresholds
 
-    def part(mask):
-        own = rows["ids"][mask]
+    def part():
+        own = rows["ids"]
         size = np.array([len(x) // (4 + 4 * len(PREFIXES)) for x in own], np.int64)
-        return np.frombuffer(b"".join(own), np.int32).reshape(-1, 1 + len(PREFIXES)), np.concatenate([[0], np.cumsum(size)]), y[mask]
+        return np.frombuffer(b"".join(own), np.int32).reshape(-1, 1 + len(PREFIXES)), np.concatenate([[0], np.cumsum(size)]), y
+
+    model = Cnn(*part(), weight if got.all() else np.ones(2))
+    if model.constant is None:
+        sent = docs.sparkSession.sparkContext.broadcast((model, langs))
+
+        def count(batches):
+            import pyarrow as pa
+
+            model, langs = sent.value
+            names = [*langs.langs, "und"]
+            for batch in batches:
+                new = ~np.asarray(batch.column("drawn")) | aside(np.asarray(batch.column("doc_id")))
+                batch = batch.filter(pa.array(new, pa.bool_()))
+                for first, texts in slices(batch, "text", 2 << 20):
+                    texts = texts.to_pylist()
+                    bins = np.floor(np.clip(model.logits(*word_ids(texts)), -MOST, MOST) * BINS).astype(np.int32)
+                    best, _ = langs.score(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in best], pa.string()), pa.array(bins), batch.column("y").slice(first, len(texts))], ["lang", "bin", "y"])
 
-    model = Cnn(*part(~aside), weight if got.all() else np.ones(2))
-    model.calibrate(*part(aside), rows["lang"].to_numpy()[aside], weight, langs.langs)
+        found = every.select("doc_id", "y", "drawn", "text").mapInArrow(count, "lang string, bin int, y int")
+        counts = found.groupBy("lang", "bin", "y").agg(F.count("*").alias("n")).toPandas()
+        model.calibrate(counts.sort_values(["lang", "bin", "y"], ignore_index=True), n)
     return model, langs
 
 

@@ -51,3 +51,19 @@ def test_threshold():
     logit, y = np.array([-3.0, -1, 0, 2, 3]), np.array([0, 0, 1, 1, 1])
     assert -1 < toxicity.threshold(logit, y, np.ones(5)) <= 0
     assert isinstance(langid.Model([], np.zeros((0, langid.BUCKETS))).score(["a"])[0], np.ndarray)
+
+
+def test_thresholds_come_from_all_labels(spark):
+    """A rare language whose labels are mostly outside the network's sample has its own threshold."""
+    rng = np.random.default_rng(2)
+    words = {"en": ["the", "house", "green", "walk", "river"], "xx": ["zul", "qarn", "vex", "jopp", "kwil"]}
+    rows = []
+    for k in range(4000):
+        lang, bad = ("xx" if k % 20 == 0 else "en"), k // 20 % 2
+        text = " ".join(rng.choice(words[lang], 12)) + (" trash" if bad else "")
+        rows.append((k, text, lang, bad))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model, langs = toxicity.fit(frame, frame.select("doc_id", "toxic"), max_each=300)
+    assert {"", "en", "xx"} <= set(model.shift)
+    found = {r.doc_id: r.score >= 0.5 for r in toxicity.score(frame, model, langs).collect()}
+    assert np.mean([found[k] == bool(bad) for k, _, _, bad in rows]) > 0.97
