@@ -2,8 +2,8 @@
 
 Training counts letter bigrams and trigrams (everything else counts as one blank) of labelled
 documents, hashed into a fixed number of buckets. Documents are drawn by a hash of their id, about
-``per_lang`` of each language at most and the ``max_langs`` most frequent languages, so that the
-counts, which are summed by Spark, and the model stay bounded. Scoring broadcasts the matrix of log
+``per_lang`` of each language at most, and every language is learnt; counts, which are summed by
+Spark, and model hold only the buckets that a language has. Scoring broadcasts the log
 probabilities and sums its rows over the n-grams of a batch of whole texts; language, source
 and doc_id are never read for it.
 
@@ -23,7 +23,9 @@ from tesserine.llm.common import slices, table
 from tesserine.llm.textnum import codes, letters, remainder
 
 BUCKETS = 1 << 15
-PER_LANG, MAX_LANGS = 5_000, 100
+PER_LANG = 5_000
+#: Languages that a counting task holds at once, and cells of texts by languages scored at once.
+HELD, CELLS = 64, 1 << 22
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,23 +52,40 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Languages in order, and the float32 matrix of log probabilities, languages by buckets."""
-
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs = langs
-        share = counts + 0.5
-        self.logs = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32) if len(langs) else np.zeros((0, BUCKETS), np.float32)
-        self.logs[:, 0] = 0
+    """Languages in order, and for each the log probabilities of its buckets (float32) and that of all others."""
+
+    def __init__(self, langs: list[str], counts):
+        """``counts``: languages by buckets, or a list of each language's (buckets, counts)."""
+        self.langs, self.rows = langs, []
+        for own in counts:
+            at, n = own if isinstance(own, tuple) else (np.flatnonzero(own), own[own != 0])
+            whole = n.sum() + 0.5 * BUCKETS
+            self.rows.append((at.astype(np.int32), np.log((n + 0.5) / whole).astype(np.float32), np.float32(np.log(0.5 / whole))))
+
+    def row(self, k: int) -> np.ndarray:
+        at, logs, other = self.rows[k]
+        out = np.full(BUCKETS, other, np.float32)
+        out[at] = logs
+        out[0] = 0
+        return out
+
+    @property
+    def logs(self) -> np.ndarray:
+        return np.stack([self.row(k) for k in range(len(self.langs))]) if self.langs else np.zeros((0, BUCKETS), np.float32)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(language index or -1, score) of whole texts."""
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
         if not len(texts) or not self.langs:
             return best, score
+        if len(texts) > 1 and len(texts) * len(self.langs) > CELLS:
+            half = len(texts) // 2
+            return tuple(np.concatenate(x) for x in zip(self.score(texts[:half]), self.score(texts[half:]), strict=True))
         two, three, bounds = grams(texts)
         used = np.add.reduceat(two != 0, bounds[:-1], dtype=np.int64) + np.add.reduceat(three != 0, bounds[:-1], dtype=np.int64)
         total = np.empty((len(texts), len(self.langs)))
-        for k, logs in enumerate(self.logs):
+        for k in range(len(self.langs)):
+            logs = self.row(k)
             total[:, k] = np.add.reduceat(logs[two] + logs[three], bounds[:-1], dtype=np.float64)
         has = used > 0
         total -= total.max(axis=1, keepdims=True)
@@ -78,11 +97,11 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+        per_lang: int = PER_LANG) -> Model:
     """Learn from all rows given that have an id and a language."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = own.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)))
@@ -94,23 +113,32 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         import pyarrow as pa
 
         place = {x: k for k, x in enumerate(langs)}
-        total = np.zeros((len(langs), BUCKETS), np.int64)
+        held: dict[int, np.ndarray] = {}
+
+        def flush():
+            for k, n in held.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
+            held.clear()
+
         for batch in batches:
-            of = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+            of = [place[x] for x in batch.column("lang").to_pylist()]
             for first, texts in slices(batch, "text"):
                 two, three, bounds = grams(texts.to_pylist())
-                base = np.repeat(of[first : first + len(texts)] * BUCKETS, np.diff(bounds))
-                for x in (two, three):
-                    total += np.bincount(base + x, minlength=total.size).reshape(total.shape)
-        lang, bucket = np.nonzero(total)
-        if len(lang):
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
+                for k, a, b in zip(of[first : first + len(texts)], bounds[:-1], bounds[1:], strict=True):
+                    if k not in held:
+                        if len(held) >= HELD:
+                            yield from flush()
+                        held[k] = np.zeros(BUCKETS, np.int64)
+                    for x in (two, three):
+                        held[k] += np.bincount(x[a:b], minlength=BUCKETS)
+        yield from flush()
 
     rows = drawn.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[rows["lang"].to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    counts[:, 0] = 0
-    return Model(langs, counts)
+    rows = rows[rows["bucket"] > 0].sort_values(["lang", "bucket"])
+    ends = np.searchsorted(rows["lang"].to_numpy(), np.arange(len(langs) + 1))
+    at, n = rows["bucket"].to_numpy(np.int64), rows["n"].to_numpy(float)
+    return Model(langs, [(at[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,3 +45,14 @@ def test_score_is_naive_bayes():
         logs = model.logs[:, used].astype(float).sum(axis=1)
         p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
         assert best[k] == p.argmax() and abs(score[k] - p.max()) < 1e-4
+
+
+def test_more_than_a_hundred_languages(spark):
+    """Each language has letters of its own; all of them are learnt, the rarest too."""
+    rows = []
+    for k in range(130):
+        a = 0x4E00 + 10 * k
+        rows += [(len(rows) + j, "".join(chr(a + (j + i) % 9) for i in range(20)), f"l{k:03d}") for j in range(3 if k < 120 else 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in langid.identify(frame, langid.fit(frame)).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
