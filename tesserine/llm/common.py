@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from array import array
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,59 @@ def drop_scratch(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _trim():
+    """glibc's malloc_trim, which hands freed pages back; None elsewhere."""
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def free() -> None:
+    """Hand back what this Python worker holds beyond its live objects: workers are used again by the
+    stages to come, and an executor's memory is that of all its workers."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def freed(run):
+    """A function for mapInArrow that frees memory once the task's batches are through."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return go
+
+
+def freed_group(run):
+    """A function for applyInArrow of one or two groups that frees memory after each."""
+    if len(signature(run).parameters) == 2:
+
+        def two(a, b):
+            try:
+                return run(a, b)
+            finally:
+                free()
+
+        return two
+
+    def one(a):
+        try:
+            return run(a)
+        finally:
+            free()
+
+    return one
+
+
 def row_of(docs: DataFrame, keep: tuple[str, ...]) -> list:
     """The column ``row``, a struct of the columns to keep; none if there are none."""
     return [F.struct(*[docs[c] for c in keep]).alias("row")] if keep else []
@@ -102,7 +156,8 @@ class Encoder:
     white-space separated chunks one after another. A column's distinct chunks are looked up; a
     new chunk of Latin-1 characters is cut into the tokenizer's own units (runs of letters,
     digits, runs of other signs), of which each new one goes to the library; any other new chunk
-    goes there whole. The memories hold about ``keep`` chunks and ``keep_units`` units at most, then they start anew.
+    goes there whole. Before each slice, the memories of chunks and of units start anew once they hold more than
+    ``keep`` and ``keep_units`` bytes.
     """
 
     #: Chunks whose units the pattern below finds as the tokenizer does.
@@ -110,13 +165,17 @@ class Encoder:
     LETTERS = "a-z\xdf-\xf6\xf8-\xff"
     UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
-    def __init__(self, path: str, keep: int = 1_000_000, keep_units: int = 600_000):
+    #: Bytes of an entry besides its text and ids: two objects and a place in a table.
+    ENTRY = 190
+
+    def __init__(self, path: str, keep: int = 48 << 20, keep_units: int = 128 << 20):
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.keep_units = Tokenizer.from_file(path), keep, keep_units
         self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.held = self.held_units = 0
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # the ids that end a unit
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -154,6 +213,8 @@ class Encoder:
                 else:
                     whole.append(c)
             self._learn_units(list(wanted))
+            self.held_units += sum(map(len, wanted)) * 2 + self.ENTRY * len(wanted)
+            self.held += sum(map(len, fresh[k : k + 5_000])) * 2 + self.ENTRY * len(fresh[k : k + 5_000])
             get, known = self.units.__getitem__, self.known
             for c, found in plain:
                 known[c] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
@@ -166,10 +227,10 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.known) > self.keep:
-            self.known.clear()
-        if len(self.units) > self.keep_units:
-            self.units.clear()
+        if self.held > self.keep:
+            self.known, self.held = {}, 0
+        if self.held_units > self.keep_units:
+            self.units, self.held_units = {}, 0
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         bounds = np.asarray(lists.offsets).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -185,19 +246,21 @@ class Encoder:
         return flat[at], ends[bounds - bounds[0]]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-#: Encoded chunks that a Python worker remembers, about 200 bytes each.
-KEEP_CHUNKS = 1_000_000
+    def forget(self) -> None:
+        self.known, self.units, self.held, self.held_units = {}, {}, 0, 0
+
+
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, keep: int = KEEP_CHUNKS) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file, made once in each Python worker."""
-    if (path, keep) not in _encoders:
+    if path not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path, keep] = Encoder(path, keep)
-    return _encoders[path, keep]
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import slices, table
+from tesserine.llm.common import freed, slices, table
 from tesserine.llm.textnum import codes, letters, remainder
 
 BUCKETS = 1 << 15
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                         held[k] += np.bincount(x[a:b], minlength=BUCKETS)
         yield from flush()
 
-    rows = drawn.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = drawn.mapInArrow(freed(count), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     rows = rows[rows["bucket"] > 0].sort_values(["lang", "bucket"])
     ends = np.searchsorted(rows["lang"].to_numpy(), np.arange(len(langs) + 1))
     at, n = rows["bucket"].to_numpy(np.int64), rows["n"].to_numpy(float)
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array([names[k] for k in best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return cols.mapInArrow(freed(run), "doc_id long, lang_pred string, score double")
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:

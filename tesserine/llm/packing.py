@@ -25,7 +25,7 @@ from bisect import insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import END_ID, KEEP_CHUNKS, encoder, slices, tokenizer_path
+from tesserine.llm.common import END_ID, encoder, freed, slices, tokenizer_path
 
 CAPACITY = 2048
 #: Tokens of items that one group holds: about 512 windows.
@@ -97,13 +97,10 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         group_tokens: int = GROUP_TOKENS, tokenizer: str | None = None, keep_ids: bool = False,
-         keep_chunks: int = KEEP_CHUNKS) -> DataFrame:
+         group_tokens: int = GROUP_TOKENS, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and place in it.
 
     With ``keep_ids``, each piece also carries its ids as little-endian uint32 bytes.
-    ``keep_chunks`` bounds what a worker remembers of encoded text; fewer take less memory and
-    more time, and give the same pieces.
     """
     path = tokenizer or tokenizer_path()
     end = END_ID.to_bytes(4, "little")
@@ -112,7 +109,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc = encoder(path, keep_chunks)
+        enc = encoder(path)
         #: sequence ids of different tasks never meet
         base, count = TaskContext.get().partitionId() << 33, 0
         items: list[tuple] = []
@@ -145,7 +142,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in slices(batch, "text"):
+            for first, texts in slices(batch, "text", 8 << 20):
                 rows = []
                 found, bounds = enc.encode(texts)
                 for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -166,9 +163,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                     yield emit(rows)
         if items:
             yield emit(place(items, last=True))
+        enc.forget()
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, SCHEMA + ", ids binary" * keep_ids)
+    return cols.mapInArrow(freed(run), SCHEMA + ", ids binary" * keep_ids)
 
 
 def op2_pack(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import WS_CHARS, row_of, slices, table, with_row
+from tesserine.llm.common import WS_CHARS, freed, row_of, slices, table, with_row
 from tesserine.llm.textnum import bounded, codes, letters, mix, remainder, word_hashes, words
 
 PASSAGE = 64
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 raw = [x[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), batch.column("y").slice(first, len(texts)), pa.array(raw, pa.binary())], ["doc_id", "y", "x"])
 
-    rows = own.join(F.broadcast(drawn), "doc_id").mapInArrow(run, "doc_id long, y int, x binary").toPandas()
+    rows = own.join(F.broadcast(drawn), "doc_id").mapInArrow(freed(run), "doc_id long, y int, x binary").toPandas()
     rows = rows.sort_values(["doc_id", "y", "x"], ignore_index=True)
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, FEATURES)
     size = np.array([len(r) // (4 * FEATURES) for r in rows["x"]], np.int64)
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(found), *rest], ["doc_id", "score"] + ["row"] * len(rest))
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_of(docs, keep))
-    return cols.mapInArrow(run, with_row("doc_id long, score double", docs, keep))
+    return cols.mapInArrow(freed(run), with_row("doc_id long, score double", docs, keep))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

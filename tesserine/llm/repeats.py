@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import row_of, scratch, table, with_row
+from tesserine.llm.common import freed, freed_group, row_of, scratch, table, with_row
 
 WORD = 16
 NO_ID = np.iinfo(np.int64).max
@@ -401,7 +401,7 @@ def shards(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes
             yield emit()
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *row_of(docs, keep))
-    return cols.mapInArrow(run, ROWS)
+    return cols.mapInArrow(freed(run), ROWS)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 8 << 20,
@@ -527,10 +527,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(out)
 
     by_shard = packed.groupBy("key")
-    hits = by_shard.applyInArrow(anchors, ROWS).groupBy("key").applyInArrow(repeated, ROWS)
-    found = by_shard.cogroup(hits.groupBy("key")).applyInArrow(fragments, ROWS)
-    marks = found.groupBy("key").applyInArrow(merged, ROWS)
-    return by_shard.cogroup(hits.union(marks).groupBy("key")).applyInArrow(cut, with_row(OUT, docs, keep))
+    hits = by_shard.applyInArrow(freed_group(anchors), ROWS).groupBy("key").applyInArrow(freed_group(repeated), ROWS)
+    found = by_shard.cogroup(hits.groupBy("key")).applyInArrow(freed_group(fragments), ROWS)
+    marks = found.groupBy("key").applyInArrow(freed_group(merged), ROWS)
+    return by_shard.cogroup(hits.union(marks).groupBy("key")).applyInArrow(freed_group(cut), with_row(OUT, docs, keep))
 
 
 def op4_repeats(spark, sf_dir: str) -> DataFrame:

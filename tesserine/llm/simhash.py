@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import drop_scratch, row_of, scratch, table, with_row
+from tesserine.llm.common import drop_scratch, freed, freed_group, row_of, scratch, table, with_row
 
 SEED = 42
 ONE = np.uint64(1)
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *rest], ["doc_id", "fp"] + ["row"] * len(rest))
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_of(docs, keep))
-    return cols.mapInArrow(run, with_row("doc_id long, fp long", docs, keep))
+    return cols.mapInArrow(freed(run), with_row("doc_id long, fp long", docs, keep))
 
 
 # -- vantage-point tree -----------------------------------------------------
@@ -237,13 +237,13 @@ def near_groups(fps: DataFrame, bits: int = 2, leaf_points: int = 4000, tree_sam
                 near = (part[:, None] ^ masks).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(np.repeat(part, 65).view(np.int64))], ["near", "fp"])
 
-    placed = scratch(distinct.select("fp").mapInArrow(run, "leaf long, fp long, home boolean"), "leaves")
+    placed = scratch(distinct.select("fp").mapInArrow(freed(run), "leaf long, fp long, home boolean"), "leaves")
     sizes = placed.groupBy("leaf").count()
     big = [r.leaf for r in sizes.filter(F.col("count") > dense).collect()]  # leaves that are balls of copies
     rest = placed.filter(~F.col("leaf").isin(big)) if big else placed
-    links = rest.groupBy("leaf").applyInArrow(compare, "a long, b long")
+    links = rest.groupBy("leaf").applyInArrow(freed_group(compare), "a long, b long")
     if big:
-        around = placed.filter(F.col("leaf").isin(big)).select("fp").distinct().mapInArrow(neighbours, "near long, fp long")
+        around = placed.filter(F.col("leaf").isin(big)).select("fp").distinct().mapInArrow(freed(neighbours), "near long, fp long")
         around = around.groupBy("near").agg(F.collect_set("fp").alias("fps"), F.min("fp").alias("b")).filter(F.size("fps") > 1)
         links = links.union(around.select(F.explode("fps").alias("a"), "b"))
     roots = components(links)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import drop_scratch, row_of, scratch, slices, with_row
+from tesserine.llm.common import drop_scratch, freed, row_of, scratch, slices, with_row
 from tesserine.llm.simhash import components
 
 SEED = 42
@@ -96,7 +96,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
     keep = tuple(docs.columns)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_of(docs, keep))
-    return cols.mapInArrow(run, with_row("doc_id long, keys array<long>, n long", docs, keep))
+    return cols.mapInArrow(freed(run), with_row("doc_id long, keys array<long>, n long", docs, keep))
 
 
 def _candidates(rows: DataFrame, small: int, least: float) -> DataFrame:
@@ -130,7 +130,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield own.filter(pa.array(keep, pa.bool_()))
 
     x, y = (sets.select(F.col("place").alias(p), F.col("hashes").alias(h)) for p, h in (("a", "x"), ("b", "y")))
-    return scratch(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
+    return scratch(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(freed(run), "a long, b long"), "near")
 
 
 def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8,
@@ -149,7 +149,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "wanted")
     texts = rows.select("place", F.col("row")[text_col].cast("string").alias("text")).join(wanted, "place")
-    sets = scratch(texts.mapInArrow(run, "place long, hashes binary"), "sets")
+    sets = scratch(texts.mapInArrow(freed(run), "place long, hashes binary"), "sets")
     first = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, least)
     roots = components(first)
     for side in ("a", "b"):

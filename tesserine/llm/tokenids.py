@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import END_ID, encoder, scratch, slices, table, tokenizer_path
+from tesserine.llm.common import END_ID, encoder, freed, scratch, slices, table, tokenizer_path
 
 MAGIC = b"RPG1"
 #: Tokens after which a block is closed.
@@ -208,7 +208,7 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cols = cols.withColumn("h", F.xxhash64("text"))
     by = ["doc_id", "h"]
     dealt = cols.repartitionByRange(shards, *by) if shards else cols.repartitionByRange(*by)
-    return dealt.sortWithinPartitions(*by).mapInArrow(run, BLOCK_SCHEMA)
+    return dealt.sortWithinPartitions(*by).mapInArrow(freed(run), BLOCK_SCHEMA)
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return blocks.select("shard", "start", "doc_ids", "doc_tokens", "payload").mapInArrow(run, RESULT_SCHEMA)
+    return blocks.select("shard", "start", "doc_ids", "doc_tokens", "payload").mapInArrow(freed(run), RESULT_SCHEMA)
 
 
 def op3_token_ids(spark, sf_dir: str) -> DataFrame:

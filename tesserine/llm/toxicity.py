@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm import langid
-from tesserine.llm.common import slices, table
+from tesserine.llm.common import freed, slices, table
 from tesserine.llm.quality import labelled, sigmoid
 from tesserine.llm.textnum import POWERS, codes, letters, mix, powers, remainder, words
 
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     def aside(ids: np.ndarray) -> np.ndarray:  # a fifth, for the thresholds
         return ids * 2654435761 % 4294967296 % 5 == 0
 
-    rows = chosen.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids binary").toPandas()
+    rows = chosen.select("doc_id", "y", "text").mapInArrow(freed(run), "doc_id long, y int, ids binary").toPandas()
     rows = rows[~aside(rows["doc_id"].to_numpy(np.int64))].sort_values(["doc_id", "ids"], ignore_index=True)
     y = rows["y"].to_numpy(np.float32)
     got = np.array([(y == 0).sum(), (y == 1).sum()])
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                     best, _ = langs.score(texts)
                     yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in best], pa.string()), pa.array(bins), batch.column("y").slice(first, len(texts))], ["lang", "bin", "y"])
 
-        found = every.select("doc_id", "y", "drawn", "text").mapInArrow(count, "lang string, bin int, y int")
+        found = every.select("doc_id", "y", "drawn", "text").mapInArrow(freed(count), "lang string, bin int, y int")
         counts = found.groupBy("lang", "bin", "y").agg(F.count("*").alias("n")).toPandas()
         model.calibrate(counts.sort_values(["lang", "bin", "y"], ignore_index=True), n)
     return model, langs
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Cnn, langs: langid.Model, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(found)], ["doc_id", "score"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, score double")
+    return cols.mapInArrow(freed(run), "doc_id long, score double")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
