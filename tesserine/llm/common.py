@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from array import array
 from inspect import signature
 
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserine.sources.scratch import drop_scratch, scratch, shared_dir  # noqa: F401
+
 #: Java regex of the separators between words: ASCII white space only.
 WS = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,34 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where the session
-    has none, as in local tests, a new folder of this machine is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tesserine-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again. It cuts the lineage and
-    outlives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    out = spark.read.parquet(at)
-    out._scratch = at
-    return out
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Remove a table that scratch() wrote, once nothing reads it any more."""
-    jvm, at = df.sparkSession._jvm, df._scratch
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _trim():
     """glibc's malloc_trim, which hands freed pages back; None elsewhere."""
     import ctypes
@@ -168,7 +140,7 @@ class Encoder:
     #: Bytes of an entry besides its text and ids: two objects and a place in a table.
     ENTRY = 190
 
-    def __init__(self, path: str, keep: int = 48 << 20, keep_units: int = 128 << 20):
+    def __init__(self, path: str, keep: int = 32 << 20, keep_units: int = 96 << 20):
         import numpy as np
         from tokenizers import Tokenizer
 

@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         import pyarrow as pa
 
         for batch in batches:
-            for first, texts in slices(batch, "text", 4 << 20):
+            for first, texts in slices(batch, "text", 1 << 20):
                 x, offsets = passages(texts.to_pylist())
                 raw = [x[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), batch.column("y").slice(first, len(texts)), pa.array(raw, pa.binary())], ["doc_id", "y", "x"])
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: s
         import pyarrow as pa
 
         for batch in batches:
-            for first, texts in slices(batch, "text", 4 << 20):
+            for first, texts in slices(batch, "text", 1 << 20):
                 found = known.value.score(*passages(texts.to_pylist()))
                 rest = [batch.column("row").slice(first, len(texts))] if keep else []
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(found), *rest], ["doc_id", "score"] + ["row"] * len(rest))
