@@ -6,6 +6,8 @@ operators, so null or repeated ids lose nothing.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from tesserine.llm import mixing, packing, quality, repeats, similar, simhash
@@ -16,6 +18,22 @@ from tesserine.llm.textnum import remainder
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch: texts may be long, and executors hold a batch twice for each task.
+ROWS_OF_BATCH = "1000"
+
+
+def small_batches(stage):
+    """``stage`` with batches of fewer rows between Spark and its Python workers."""
+
+    @wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_OF_BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@small_batches
 def good_quality(spark, docs, sf_dir):
     """Documents that the quality classifier scores 0.5 or more. It learns from the labels that
     the operator's own query learns from."""
@@ -29,12 +47,14 @@ def one_of_near_duplicates(spark, docs, sf_dir):
     return simhash.one_of_each(docs)
 
 
+@small_batches
 def one_of_similar(spark, docs, sf_dir):
     """One document of each group of near duplicates, as above, and of these one of each group whose
     five-word shingles have similarity 0.8 or more."""
     return similar.one_of_similar(one_of_near_duplicates(spark, docs, sf_dir))
 
 
+@small_batches
 def without_repeats(spark, docs, sf_dir):
     """All documents, without the bytes of strings that a document with a smaller doc_id
     holds; a null text becomes empty."""
@@ -45,12 +65,14 @@ def without_repeats(spark, docs, sf_dir):
     return cut.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+@small_batches
 def mixed_sources(spark, docs, sf_dir):
     """As many copies of each document as the mix takes."""
     mix = mixing.mix(docs, keep=tuple(docs.columns))
     return mix.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
+@small_batches
 def packed(spark, docs, sf_dir):
     """The pieces of the packed sequences, with their ids."""
     return packing.pack(docs, keep_ids=True)
