@@ -5,10 +5,11 @@
    decides where a fingerprint goes, so the sample affects balance and not the result. A
    fingerprint's home is one leaf; where it lies so near to a boundary that the triangle
    inequality cannot exclude a partner on the far side, it also visits that side as a query.
+   A leaf of more than ``dense`` rows is divided by a tree of its own points, and so on.
 3. Each leaf compares its home fingerprints with each other and with its visitors, and keeps a
-   spanning star of what is linked. A leaf of more than ``dense`` rows (a ball of very many near
-   copies) is not compared pairwise: each member emits itself and its neighbours at distance one,
-   and two members within two bits share one of those, in groups of at most 65 fingerprints.
+   spanning star of what is linked. Only a leaf that no tree divides, as its points are a ball of very
+   many near copies, is not compared pairwise: each member emits itself and its neighbours at distance
+   one, and two members within two bits share one of those, in groups of at most 65 fingerprints.
 4. Connected components of the links come from rounds of large-star and small-star, each round
    written to the shared folder. Neither links nor fingerprints reach the driver.
 
@@ -20,6 +21,8 @@ gives no rows; only the two named columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,11 +114,12 @@ def build_tree(points: np.ndarray, leaves: int, bits: int, tries: int = 12) -> l
     return nodes
 
 
-def assign(nodes: list[tuple], points: np.ndarray, bits: int):
-    """(index, leaf, whether home) of every leaf that each point must reach."""
+def assign(nodes: list[tuple], points: np.ndarray, bits: int, home: np.ndarray | None = None):
+    """(index, leaf, whether home) of every leaf that each point must reach; ``home`` tells which points
+    are not visitors already."""
     out_i, out_leaf, out_home = [], [], []
     every = np.arange(len(points))
-    stack = [(0 if nodes else -1, every, np.ones(len(points), bool))]
+    stack = [(0 if nodes else -1, every, np.ones(len(points), bool) if home is None else home)]
     while stack:
         node, idx, home = stack.pop()
         if not len(idx):
@@ -135,33 +139,37 @@ def assign(nodes: list[tuple], points: np.ndarray, bits: int):
     return np.concatenate(out_i), np.concatenate(out_leaf), np.concatenate(out_home)
 
 
-def stars(points: np.ndarray, home: np.ndarray, bits: int):
-    """(member, root) index pairs that span what is linked among the points of a leaf; two
-    visitors are not compared."""
-    own = np.flatnonzero(home)
-    label = np.arange(len(points))
-    block = max(1, (1 << 22) // max(1, len(own)))
-    pairs_a, pairs_b = [], []
-    for k in range(0, len(points), block):
-        close = np.bitwise_count(points[k : k + block, None] ^ points[None, own]) <= bits
-        a, b = np.nonzero(close)
-        a, b = a + k, own[b]
-        keep = a != b
-        pairs_a.append(a[keep])
-        pairs_b.append(b[keep])
-    a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-    while True:
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of n points that each is linked to by the pairs (a, b)."""
+    label = np.arange(n)
+    while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        for at in (label[a], label[b], a, b):
+            np.minimum.at(new, at, low)
         new = new[new]
         if (new == label).all():
             break
         label = new
-    member = np.flatnonzero(label != np.arange(len(points)))
+    return label
+
+
+def stars(points: np.ndarray, home: np.ndarray, bits: int, cells: int = 1 << 20):
+    """(member, root) index pairs that span what is linked among the points of a leaf; two
+    visitors are not compared. Pairs are folded into one link a point, ``cells`` comparisons at a time."""
+    own = np.flatnonzero(home)
+    n = len(points)
+    label = np.arange(n)
+    block = max(1, cells // max(1, len(own)))
+    for k in range(0, n, block):
+        close = np.bitwise_count(points[k : k + block, None] ^ points[None, own]) <= bits
+        a, b = np.nonzero(close)
+        a, b = a + k, own[b]
+        keep = label[a] != label[b]
+        if keep.any():
+            linked = np.flatnonzero(label != np.arange(n))
+            label = joined(np.concatenate([a[keep], linked]), np.concatenate([b[keep], label[linked]]), n)
+    member = np.flatnonzero(label != np.arange(n))
     return member, label[member]
 
 
@@ -192,29 +200,75 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_groups(fps: DataFrame, bits: int = 2, leaf_points: int = 4000, tree_sample: int = 65_536,
-                dense: int = 40_000) -> DataFrame:
-    """fp and component_id (least doc_id reachable) for every distinct fingerprint of ``fps``
-    (doc_id, fp). ``bits`` may be 2 at most if dense leaves are to stay exact."""
-    if bits > 2:
-        raise ValueError("dense leaves are exact for two bits at most")
-    spark = fps.sparkSession
-    distinct = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    n = distinct.count()
-    buckets = 1 << 20
-    take = min(buckets, -(-tree_sample * buckets // max(1, n)))
-    picked = distinct.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(buckets)) < take).select("fp").limit(2 * tree_sample)
-    sample = np.sort(picked.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
-    nodes = spark.sparkContext.broadcast(build_tree(sample, max(1, n // leaf_points), bits))
+def _dealt(rows: DataFrame, trees: dict[int, list[tuple]], first: int, bits: int) -> DataFrame:
+    """Rows (leaf, fp, home) of leaves that have a tree, dealt to the leaves of these trees, which
+    are numbered from ``first`` on."""
+    base = dict(zip(trees, np.cumsum([first, *[len(x) + 1 for x in trees.values()]]).tolist(), strict=False))
+    sent = rows.sparkSession.sparkContext.broadcast((trees, base))
 
     def run(batches):
         import pyarrow as pa
 
+        trees, base = sent.value
         for batch in batches:
-            points = np.asarray(batch.column("fp")).view(np.uint64)
-            if len(points):
-                i, leaf, home = assign(nodes.value, points, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(points[i].view(np.int64)), pa.array(home)], ["leaf", "fp", "home"])
+            own, points = np.asarray(batch.column("leaf")), np.asarray(batch.column("fp")).view(np.uint64)
+            home = np.asarray(batch.column("home").cast(pa.int8())).astype(bool)
+            for leaf in np.unique(own).tolist():
+                part = np.flatnonzero(own == leaf)
+                i, sub, at_home = assign(trees[leaf], points[part], bits, home[part])
+                yield pa.RecordBatch.from_arrays([pa.array(sub.astype(np.int64) + base[leaf]), pa.array(points[part][i].view(np.int64)), pa.array(at_home)], ["leaf", "fp", "home"])
+
+    return rows.mapInArrow(freed(run), "leaf long, fp long, home boolean")
+
+
+def leaves(distinct: DataFrame, bits: int, leaf_points: int, tree_sample: int, dense: int, at_once: int = 256) -> tuple[list, list]:
+    """(tables of leaf, fp and home whose leaves are to be compared, tables of leaves that no tree divides).
+
+    The first tree comes from a sample of all fingerprints. A leaf of more than ``dense`` rows gets a
+    tree of a sample of its own, and so on, ``at_once`` leaves at a time, each with its share of
+    ``tree_sample`` points. Not divided is a leaf whose tree would make more than three rows of one, or
+    leave over three quarters of them together: a ball of points within a few bits."""
+    todo = [(distinct.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("home")), {0: distinct.count()})]
+    done, balls, first, buckets = [], [], 1, 1 << 30
+    while todo:
+        rows, sizes = todo.pop()
+        n = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("leaf")]
+        share = max(32, tree_sample // len(sizes))
+        drawn = rows.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(buckets)) * n.cast("double") < float(share * buckets))
+        found = drawn.select("leaf", "fp").distinct().limit(2 * tree_sample).toPandas().groupby("leaf")["fp"]
+        sample = {k: np.sort(v.to_numpy(np.int64)).view(np.uint64) for k, v in found}
+        trees: dict[int, list[tuple]] = {}
+        for leaf, count in sizes.items():
+            own = sample.get(leaf, np.zeros(0, np.uint64))
+            nodes = build_tree(own, max(1, count // leaf_points), bits)
+            if count > dense and nodes:
+                sub = assign(nodes, own, bits)[1]
+                if len(sub) > 3 * len(own) or np.bincount(sub).max() > 0.75 * len(own):
+                    nodes = []
+            if nodes or count <= dense:
+                trees[leaf] = nodes
+        whole = [k for k in sizes if k not in trees]
+        if whole:
+            balls.append(rows.filter(F.col("leaf").isin(whole)))
+        if trees:
+            placed = scratch(_dealt(rows.filter(F.col("leaf").isin(list(trees))), trees, first, bits), "leaves")
+            first += sum(len(x) + 1 for x in trees.values())
+            over = [(r.leaf, r["count"]) for r in placed.groupBy("leaf").count().filter(F.col("count") > dense).collect()]
+            done.append(placed.filter(~F.col("leaf").isin([k for k, _ in over])) if over else placed)
+            for a in range(0, len(over), at_once):
+                part = dict(over[a : a + at_once])
+                todo.append((placed.filter(F.col("leaf").isin(list(part))), part))
+    return done, balls
+
+
+def near_groups(fps: DataFrame, bits: int = 2, leaf_points: int = 4000, tree_sample: int = 65_536,
+                dense: int = 40_000) -> DataFrame:
+    """fp and component_id (least doc_id reachable) for every distinct fingerprint of ``fps``
+    (doc_id, fp). ``bits`` may be 2 at most if leaves that no tree divides are to stay exact."""
+    if bits > 2:
+        raise ValueError("balls of points are exact for two bits at most")
+    distinct = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    done, balls = leaves(distinct, bits, leaf_points, tree_sample, dense)
 
     def compare(group):
         import pyarrow as pa
@@ -237,19 +291,15 @@ def near_groups(fps: DataFrame, bits: int = 2, leaf_points: int = 4000, tree_sam
                 near = (part[:, None] ^ masks).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(np.repeat(part, 65).view(np.int64))], ["near", "fp"])
 
-    placed = scratch(distinct.select("fp").mapInArrow(freed(run), "leaf long, fp long, home boolean"), "leaves")
-    sizes = placed.groupBy("leaf").count()
-    big = [r.leaf for r in sizes.filter(F.col("count") > dense).collect()]  # leaves that are balls of copies
-    rest = placed.filter(~F.col("leaf").isin(big)) if big else placed
-    links = rest.groupBy("leaf").applyInArrow(freed_group(compare), "a long, b long")
-    if big:
-        around = placed.filter(F.col("leaf").isin(big)).select("fp").distinct().mapInArrow(freed(neighbours), "near long, fp long")
+    links = [reduce(DataFrame.union, done).groupBy("leaf").applyInArrow(freed_group(compare), "a long, b long")] if done else []
+    if balls:
+        around = reduce(DataFrame.union, balls).select("fp").distinct().mapInArrow(freed(neighbours), "near long, fp long")
         around = around.groupBy("near").agg(F.collect_set("fp").alias("fps"), F.min("fp").alias("b")).filter(F.size("fps") > 1)
-        links = links.union(around.select(F.explode("fps").alias("a"), "b"))
-    roots = components(links)
-    drop_scratch(placed)
+        links.append(around.select(F.explode("fps").alias("a"), "b"))
+    roots = components(reduce(DataFrame.union, links))
     rooted = distinct.join(roots.withColumnsRenamed({"a": "fp", "b": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch(rooted, "roots")
+    drop_scratch(distinct, roots)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 

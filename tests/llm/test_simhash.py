@@ -56,8 +56,8 @@ def test_whole_table(spark, sf):
     assert got(simhash.near_duplicates(frame, leaf_points=20)) == want
 
 
-@pytest.mark.parametrize("dense", [40_000, 100])
-def test_planted_balls(spark, dense):
+@pytest.mark.parametrize("dense,tree", [(40_000, {}), (100, {}), (60, {"tree_sample": 400}), (10, {"tree_sample": 100})])
+def test_planted_balls(spark, dense, tree):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
     flips = lambda x, k: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (len(x), k)).astype(np.uint64), axis=1)
@@ -65,7 +65,7 @@ def test_planted_balls(spark, dense):
     fps = np.concatenate([base, flips(base[:200], 2), flips(base[100:250], 3), ball, base[:50]])
     rows = [(int(i), int(f)) for i, f in enumerate(fps)]
     frame = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in rows], "doc_id long, fp long")
-    found = frame.join(simhash.near_groups(frame, leaf_points=40, dense=dense), "fp")
+    found = frame.join(simhash.near_groups(frame, leaf_points=40, dense=dense, **tree), "fp")
     assert got(found) == brute(rows)
 
 
