@@ -10,9 +10,11 @@ across rules and strata the level is divided (Bonferroni). With probability 1 -
 then loses more than a share ``alpha`` of its good documents to these rules. Of the certified
 cutoffs, a rule takes the one with most rejected bad documents less ten times its rejected good
 ones, the loosest on ties, and none if no cutoff gains anything. A stratum with too few labels to
-certify anything rejects by the base rules only.
+certify anything rejects by the base rules only. The bound counts independent trials, so exact copies of
+a text in a stratum are one trial, good if any label of any copy says so.
 
-Only sums by stratum reach the driver: one row for each stratum that has enough labels.
+Only sums by stratum reach the driver: one row for each stratum that has enough labels to certify a
+cutoff at all, which is some 1,400 texts each.
 
 Nulls and edge cases: a null text has no words and fails the base rules; a null language is the
 stratum of the empty string; a document with several labels counts as good if any says so; labels
@@ -62,7 +64,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("_t"))
     trimmed = F.btrim("_t", F.lit(WS_CHARS))
     df = df.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS)))
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn("text_key", F.xxhash64("_t")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     w, n = F.col("_w"), F.size("_w")
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     df = df.withColumn("_h", F.when(n >= 3, hashes).otherwise(F.array().cast("array<bigint>")))
@@ -82,6 +84,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     return df.select(
         "doc_id",
         "stratum",
+        "text_key",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         reduce(lambda a, b: a + b, [_count(F.col("_t"), s) for s in SYMBOLS]).cast("long").alias("n_symbols"),
@@ -109,6 +112,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     least = math.ceil(math.log(delta / len(RULES)) / math.log1p(-share))  # labels below which nothing can be certified
     quality = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     known = measured.filter(~F.col("base_failed")).join(quality, "doc_id")
+    one = [c for c in measured.columns if c not in ("doc_id", "stratum", "text_key", "base_failed")]
+    known = known.groupBy("stratum", "text_key").agg(F.max("quality").alias("quality"), *[F.max(c).alias(c) for c in one])
     good = (F.col("quality") > 0).cast("long")
     sums = [F.sum(good).alias("n")]
     for rule, (_, _, grid) in RULES.items():
@@ -155,7 +160,7 @@ def _oracle() -> str:
     """DuckDB SQL for op1's rows, with the rules spelled out."""
     ws = r"[^\x20\x09-\x0D]"
     rules = " UNION ALL ".join(
-        f"SELECT rid, stratum, quality, '{r}' rule, {j} j, CAST({float(c)} AS DOUBLE) cut, ({v} {'>' if up else '<'} {float(c)}) hit, {v} val FROM m LEFT JOIN q USING (doc_id) WHERE NOT base_failed"
+        f"SELECT rid, tid, stratum, quality, '{r}' rule, {j} j, CAST({float(c)} AS DOUBLE) cut, ({v} {'>' if up else '<'} {float(c)}) hit, {v} val FROM m LEFT JOIN q USING (doc_id) WHERE NOT base_failed"
         for r, (v, up, grid) in RULES.items() for j, c in enumerate(grid)
     )
     n, share = len(RULES), ALPHA / len(RULES)
@@ -167,7 +172,7 @@ x AS (SELECT rid, w, unnest(range(1, len(w) - 1)) i FROM d WHERE len(w) >= 3),
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) c FROM x),
 p AS (SELECT rid, count(DISTINCT pos) n FROM (SELECT rid, unnest([i, i + 1, i + 2]) pos FROM g WHERE c > 1) GROUP BY rid),
 l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '{ws}')) ls FROM d),
-m0 AS (SELECT d.rid, doc_id, stratum, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars,
+m0 AS (SELECT d.rid, min(d.rid) OVER (PARTITION BY stratum, t) tid, doc_id, stratum, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars,
   CAST(length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) n_repeat_words,
   length(t) - length(replace(t, '!', '')) n_bangs
@@ -175,8 +180,9 @@ m0 AS (SELECT d.rid, doc_id, stratum, CAST(len(w) AS BIGINT) n_words, CAST(lengt
 m AS MATERIALIZED (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) base_failed FROM m0),
 q AS (SELECT doc_id, max(quality) quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 r AS MATERIALIZED ({rules}),
+o AS (SELECT stratum, tid, rule, j, cut, bool_or(hit) hit, max(quality) quality FROM r WHERE quality IS NOT NULL GROUP BY ALL),
 s AS (SELECT stratum, rule, j, cut, count(*) FILTER (quality > 0) n, count(*) FILTER (quality > 0 AND hit) k,
-  count(*) FILTER (quality <= 0 AND hit) b FROM r WHERE quality IS NOT NULL GROUP BY ALL),
+  count(*) FILTER (quality <= 0 AND hit) b FROM o GROUP BY ALL),
 e AS (SELECT *, {DELTA} / ({n} * (SELECT count(DISTINCT stratum) FROM s WHERE n >= {least})) lvl,
   list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) tail
   FROM s WHERE n >= {least}),

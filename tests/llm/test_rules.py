@@ -43,7 +43,7 @@ def test_tail_is_the_binomial_tail():
 
 
 def measured(spark, rows):
-    cols = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bangs long, base_failed boolean"
+    cols = "doc_id long, stratum string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bangs long, base_failed boolean"
     return spark.createDataFrame(rows, cols)
 
 
@@ -54,7 +54,7 @@ def test_risk_is_controlled(spark):
     for i in range(9000):
         bad = i % 9 == 0
         symbols = 200 if bad or i % 2000 == 1 else 2
-        rows.append((i, "en" if i < 8900 else "xx", 100, 500, symbols, 0, 0, 0, False))
+        rows.append((i, "en" if i < 8900 else "xx", i, 100, 500, symbols, 0, 0, 0, False))
         labels.append((i, 0 if bad else 1))
     frame = measured(spark, rows)
     quality = spark.createDataFrame([*labels, (1, None), (2, 0)], "doc_id long, quality int")
@@ -67,6 +67,22 @@ def test_risk_is_controlled(spark):
     assert all(i in kept for i in range(8900, 9000))
 
 
+def test_copies_are_one_trial(spark):
+    """Neither repeated rows nor copies under other ids change a cutoff: they are no new evidence."""
+    rows, labels = [], []
+    for i in range(3000):
+        bad = i % 3 == 0
+        rows.append((i, "en", i, 100, 500, 200 if bad else 2, 0, 0, 0, False))
+        labels.append((i, 0 if bad else 1))
+    few = [r for r in rows if r[0] < 90]
+    quality = spark.createDataFrame(labels + [(i + 10_000 * c, q) for i, q in labels[:90] for c in range(1, 60)], "doc_id long, quality int")
+    copies = [(r[0] + 10_000 * c, *r[1:]) for r in few for c in range(60)]
+    once, again, other = (rules.cutoffs(measured(spark, x), quality) for x in (few, few * 60, copies))
+    assert once == again == other and not any(once.values())
+    whole = rules.cutoffs(measured(spark, rows), quality)
+    assert whole["symbols"] and rules.cutoffs(measured(spark, rows + rows + copies), quality) == whole
+
+
 def test_no_labels(spark):
     frame = rules.measures(docs(spark))
     found = rules.cutoffs(frame, spark.createDataFrame([], "doc_id long, quality int"))
