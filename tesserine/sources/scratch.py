@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import warnings
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_listed: list[list[DataFrame]] = []
+
+
+@contextmanager
+def listed(into: list[DataFrame]):
+    """Append the tables that scratch() writes meanwhile to a list, so that they can be dropped together."""
+    _listed.append(into)
+    try:
+        yield into
+    finally:
+        _listed.pop()
+
+
 def scratch(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again. It cuts the lineage and
     outlives lost executors."""
@@ -30,6 +44,8 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._scratch = at
+    for own in _listed:
+        own.append(out)
     return out
 
 
