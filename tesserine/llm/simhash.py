@@ -221,15 +221,16 @@ def _dealt(rows: DataFrame, trees: dict[int, list[tuple]], first: int, bits: int
     return rows.mapInArrow(freed(run), "leaf long, fp long, home boolean")
 
 
-def leaves(distinct: DataFrame, bits: int, leaf_points: int, tree_sample: int, dense: int, at_once: int = 256) -> tuple[list, list]:
-    """(tables of leaf, fp and home whose leaves are to be compared, tables of leaves that no tree divides).
+def leaves(distinct: DataFrame, bits: int, leaf_points: int, tree_sample: int, dense: int, at_once: int = 256) -> tuple[list, list, list]:
+    """(tables of leaf, fp and home whose leaves are to be compared, tables of leaves that no tree divides,
+    the scratch tables that both read).
 
     The first tree comes from a sample of all fingerprints. A leaf of more than ``dense`` rows gets a
     tree of a sample of its own, and so on, ``at_once`` leaves at a time, each with its share of
     ``tree_sample`` points. Not divided is a leaf whose tree would make more than three rows of one, or
     leave over three quarters of them together: a ball of points within a few bits."""
     todo = [(distinct.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("home")), {0: distinct.count()})]
-    done, balls, first, buckets = [], [], 1, 1 << 30
+    done, balls, made, first, buckets = [], [], [], 1, 1 << 30
     while todo:
         rows, sizes = todo.pop()
         n = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("leaf")]
@@ -252,13 +253,14 @@ def leaves(distinct: DataFrame, bits: int, leaf_points: int, tree_sample: int, d
             balls.append(rows.filter(F.col("leaf").isin(whole)))
         if trees:
             placed = scratch(_dealt(rows.filter(F.col("leaf").isin(list(trees))), trees, first, bits), "leaves")
+            made.append(placed)
             first += sum(len(x) + 1 for x in trees.values())
             over = [(r.leaf, r["count"]) for r in placed.groupBy("leaf").count().filter(F.col("count") > dense).collect()]
             done.append(placed.filter(~F.col("leaf").isin([k for k, _ in over])) if over else placed)
             for a in range(0, len(over), at_once):
                 part = dict(over[a : a + at_once])
                 todo.append((placed.filter(F.col("leaf").isin(list(part))), part))
-    return done, balls
+    return done, balls, made
 
 
 def near_groups(fps: DataFrame, bits: int = 2, leaf_points: int = 4000, tree_sample: int = 65_536,
@@ -268,7 +270,7 @@ def near_groups(fps: DataFrame, bits: int = 2, leaf_points: int = 4000, tree_sam
     if bits > 2:
         raise ValueError("balls of points are exact for two bits at most")
     distinct = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    done, balls = leaves(distinct, bits, leaf_points, tree_sample, dense)
+    done, balls, made = leaves(distinct, bits, leaf_points, tree_sample, dense)
 
     def compare(group):
         import pyarrow as pa
@@ -299,7 +301,7 @@ def near_groups(fps: DataFrame, bits: int = 2, leaf_points: int = 4000, tree_sam
     roots = components(reduce(DataFrame.union, links))
     rooted = distinct.join(roots.withColumnsRenamed({"a": "fp", "b": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch(rooted, "roots")
-    drop_scratch(distinct, roots)
+    drop_scratch(distinct, roots, *made)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 

@@ -155,9 +155,10 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for side in ("a", "b"):
         own = roots.select(F.col("a").alias(side), F.col("b").alias(f"root_{side}"))
         pairs = pairs.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    links = first.unionByName(_linked(pairs.filter("root_a <> root_b").select("a", "b"), sets, least))
-    roots = components(links)
-    drop_scratch(sets)
+    more = _linked(pairs.filter("root_a <> root_b").select("a", "b"), sets, least)
+    drop_scratch(sets, wanted, roots)
+    roots = components(first.unionByName(more))
+    drop_scratch(first, more)
     member = roots.selectExpr("a place", "b root").union(roots.selectExpr("b place", "b root").distinct())
     member = scratch(member.join(rows.select("place", "doc_id"), "place"), "members")
     best = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("place"))).alias("best"))

@@ -84,3 +84,18 @@ def test_run(spark, sf):
             assert offset == at
             at += n
         assert at <= 2048
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_edge_rows(spark, sf, empty):
+    """Nulls, repeated rows, texts without words, further columns with clashing names, and no rows at all."""
+    from tesserine.llm.common import scratch
+
+    frame = scratch(docs(spark).limit(0) if empty else docs(spark), "edges")
+    for name, stage in P.STAGES:
+        found = scratch(stage(spark, frame, sf), name)
+        if name != "packing":
+            assert found.columns == docs(spark).columns
+        if name != "quality":  # which rejects nearly all of these
+            frame = found
+            assert bool(found.count()) != empty
