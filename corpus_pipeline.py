@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of documents. Stages carry whole rows through their
 operators, so null or repeated ids lose nothing.
+
+Nulls and edge cases: a null text is scored as an empty one, is a duplicate of no other text by five-word
+shingles (but of other texts without words by fingerprint), becomes empty in ``repeats`` and is its end id
+alone in ``packing``; rows with equal ids and texts are near duplicates, of which one stays; a null source
+is a source of its own; texts of any length are read whole; documents may have further columns with any
+names; an empty table gives empty tables, and no stage fails on it.
 """
 
 from __future__ import annotations
@@ -11,8 +17,9 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from tesserine.llm import mixing, packing, quality, repeats, similar, simhash
-from tesserine.llm.common import scratch, table
+from tesserine.llm.common import drop_scratch, scratch, table
 from tesserine.llm.textnum import remainder
+from tesserine.sources.scratch import listed
 
 #: Not SQL: the stages score, fingerprint, encode and pack with trained or hashed models.
 ORACLE_SQL = None
@@ -20,20 +27,26 @@ ORACLE_SQL = None
 
 #: Rows of an Arrow batch: texts may be long, and executors hold a batch twice for each task.
 ROWS_OF_BATCH = "1000"
+#: Scratch tables of the stage before.
+_left: list = []
 
 
-def small_batches(stage):
-    """``stage`` with batches of fewer rows between Spark and its Python workers."""
+def pipeline_stage(stage):
+    """``stage`` with small batches between Spark and its Python workers. The result of a stage has to be
+    written before the next one is called, as the scratch tables that it reads are dropped then."""
 
     @wraps(stage)
     def run_stage(spark, docs, sf_dir):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_OF_BATCH)
-        return stage(spark, docs, sf_dir)
+        drop_scratch(*_left)
+        _left.clear()
+        with listed(_left):
+            return stage(spark, docs, sf_dir)
 
     return run_stage
 
 
-@small_batches
+@pipeline_stage
 def good_quality(spark, docs, sf_dir):
     """Documents that the quality classifier scores 0.5 or more. It learns from the labels that
     the operator's own query learns from."""
@@ -47,14 +60,14 @@ def one_of_near_duplicates(spark, docs, sf_dir):
     return simhash.one_of_each(docs)
 
 
-@small_batches
+@pipeline_stage
 def one_of_similar(spark, docs, sf_dir):
     """One document of each group of near duplicates, as above, and of these one of each group whose
     five-word shingles have similarity 0.8 or more."""
     return similar.one_of_similar(one_of_near_duplicates(spark, docs, sf_dir))
 
 
-@small_batches
+@pipeline_stage
 def without_repeats(spark, docs, sf_dir):
     """All documents, without the bytes of strings that a document with a smaller doc_id
     holds; a null text becomes empty."""
@@ -65,14 +78,14 @@ def without_repeats(spark, docs, sf_dir):
     return cut.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-@small_batches
+@pipeline_stage
 def mixed_sources(spark, docs, sf_dir):
     """As many copies of each document as the mix takes."""
     mix = mixing.mix(docs, keep=tuple(docs.columns))
     return mix.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
-@small_batches
+@pipeline_stage
 def packed(spark, docs, sf_dir):
     """The pieces of the packed sequences, with their ids."""
     return packing.pack(docs, keep_ids=True)
@@ -90,6 +103,10 @@ STAGES = [
 def run(spark, sf_dir):
     """Apply every stage to documents; each stage's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, scratch(stage(spark, docs, sf_dir), name)
+        if k:
+            drop_scratch(before)
+    drop_scratch(*_left)
+    _left.clear()
     return docs
