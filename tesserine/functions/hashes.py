@@ -5,11 +5,12 @@ Rolling hashes advance all texts of a batch by one byte at a time, in arrays. Nu
 
 from __future__ import annotations
 
-import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
@@ -34,10 +35,6 @@ def _raw(x) -> bytes:
     return x.encode("utf-8", "surrogatepass") if isinstance(x, str) else bytes(x)
 
 
-def _each(values: pd.Series, f) -> pd.Series:
-    return pd.Series([None if x is None else f(_raw(x)) for x in values], index=values.index, dtype="Int64")
-
-
 def roll(texts: list[bytes], kind: str, seed: int) -> np.ndarray:
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     order = np.argsort(-size, kind="stable")
@@ -51,79 +48,86 @@ def roll(texts: list[bytes], kind: str, seed: int) -> np.ndarray:
     return state
 
 
-def rolling(kind: str, seed: int = 0):
-    """Function of a column: the rolling hash ``kind`` of its bytes, as a long."""
-
-    @pandas_udf(LongType())
-    def run(values: pd.Series) -> pd.Series:
-        has = values.notna()
-        out = pd.Series(pd.NA, index=values.index, dtype="Int64")
-        out[has] = roll([_raw(x) for x in values[has]], kind, seed).astype(np.int64)
-        return out
-
-    return run
+def _rotated(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << _u(k)) | (x >> _u(32 - k))
 
 
-def murmur3_32(data: bytes, seed: int = 0) -> int:
-    """MurmurHash3, x86, 32 bits."""
-    m, h, n = 0xFFFFFFFF, seed, len(data)
+def _mixed(k: np.ndarray) -> np.ndarray:
+    return _rotated(k * _u(0xCC9E2D51), 15) * _u(0x1B873593)
 
-    def mixed(k):
-        k = k * 0xCC9E2D51 & m
-        return (k << 15 | k >> 17) * 0x1B873593 & m
 
-    for k in np.frombuffer(data, "<u4", n // 4).tolist():
-        h ^= mixed(k)
-        h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
-    if n % 4:
-        h ^= mixed(int.from_bytes(data[n - n % 4 :], "little"))
-    h ^= n
-    h = (h ^ h >> 16) * 0x85EBCA6B & m
-    h = (h ^ h >> 13) * 0xC2B2AE35 & m
-    return h ^ h >> 16
+def murmur3_32(texts: list[bytes], seed: int = 0) -> np.ndarray:
+    """MurmurHash3, x86, 32 bits, of all texts; they advance together by words of four bytes."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    whole = -(-size // 4)  # texts filled up with zeros to whole words
+    flat = np.frombuffer(b"".join(t + bytes(-len(t) % 4) for t in texts), "<u4")
+    first, order = np.cumsum(whole) - whole, np.argsort(-size, kind="stable")
+    h = np.full(len(texts), seed, np.uint32)
+    longest = int(size.max(initial=0)) // 4
+    live = np.searchsorted(-(size[order] // 4), -np.arange(longest), side="left")
+    for k in range(longest):
+        own = order[: live[k]]
+        h[own] = _rotated(h[own] ^ _mixed(flat[first[own] + k]), 13) * _u(5) + _u(0xE6546B64)
+    rest = np.flatnonzero(size % 4)
+    h[rest] ^= _mixed(flat[first[rest] + whole[rest] - 1])
+    h ^= size.astype(np.uint32)
+    h = (h ^ (h >> _u(16))) * _u(0x85EBCA6B)
+    h = (h ^ (h >> _u(13))) * _u(0xC2B2AE35)
+    return h ^ (h >> _u(16))
 
 
 @lru_cache(1)
-def _castagnoli() -> list[int]:
-    out = []
-    for k in range(256):
-        for _ in range(8):
-            k = k >> 1 ^ (0x82F63B78 if k & 1 else 0)
-        out.append(k)
+def _castagnoli() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = (out >> _u(1)) ^ (out & _u(1)) * _u(0x82F63B78)
     return out
 
 
-def crc32c_of(data: bytes) -> int:
-    crc, own = 0xFFFFFFFF, _castagnoli()
-    for b in data:
-        crc = crc >> 8 ^ own[(crc ^ b) & 255]
-    return crc ^ 0xFFFFFFFF
-
+STEPS["crc32c"] = lambda h, c: (h >> _u(8)) ^ _castagnoli()[(h ^ c) & _u(255)]
 
-@pandas_udf(LongType())
-def adler32(values: pd.Series) -> pd.Series:
-    return _each(values, zlib.adler32)
 
+def adler32_of(texts: list[bytes]) -> np.ndarray:
+    """Adler-32 of all texts, from sums of bytes and of bytes times their distance to the end."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    ends = np.cumsum(size)
+    far = np.repeat(ends, size) - np.arange(len(flat))
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+    return (total(far % 65521 * flat) + size) % 65521 << 16 | (total(flat) + 1) % 65521
 
-@pandas_udf(LongType())
-def crc32c(values: pd.Series) -> pd.Series:
-    return _each(values, crc32c_of)
 
+def _of_all(f):
+    """Function of a column, by ``f`` of the list of a batch's texts; nulls stay null."""
 
-def murmur3(seed: int = 0):
     @pandas_udf(LongType())
     def run(values: pd.Series) -> pd.Series:
-        return _each(values, lambda x: murmur3_32(x, seed))
+        has = values.notna()
+        out = pd.Series(pd.NA, index=values.index, dtype="Int64")
+        out[has] = f([_raw(x) for x in values[has]]).astype(np.int64)
+        return out
 
     return run
 
 
-@pandas_udf(LongType())
-def lcg_rand(seeds: pd.Series) -> pd.Series:
+def rolling(kind: str, seed: int = 0):
+    """Function of a column: the rolling hash ``kind`` of its bytes, as a long."""
+    return _of_all(lambda texts: roll(texts, kind, seed))
+
+
+def murmur3(seed: int = 0):
+    return _of_all(lambda texts: murmur3_32(texts, seed))
+
+
+adler32 = _of_all(adler32_of)
+crc32c = _of_all(lambda texts: roll(texts, "crc32c", 0xFFFFFFFF) ^ _u(0xFFFFFFFF))
+
+
+def lcg_rand(seed: Column) -> Column:
     """The first number of a linear congruential generator for each seed: 31 bits from three steps."""
-    state, out = seeds.fillna(0).to_numpy(np.int64).astype(np.uint32), None
+    mask, state, out = F.lit(0xFFFFFFFF).cast("long"), seed.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), None
     for bits in (0x7FF, 0x3FF, 0x3FF):
-        state = state * _u(1103515245) + _u(12345)
-        part = (state >> _u(16)) & _u(bits)
-        out = part if out is None else (out << _u(10)) ^ part
-    return pd.Series(out.astype(np.int64)).where(seeds.notna().to_numpy()).astype("Int64")
+        state = (state * 1103515245 + 12345).bitwiseAND(mask)
+        part = F.shiftright(state, 16).bitwiseAND(F.lit(bits).cast("long"))
+        out = part if out is None else F.shiftleft(out, 10).bitwiseXOR(part)
+    return out

@@ -62,3 +62,14 @@ def shared_prefix(a: Column, b: Column) -> Column:
 
 def shared_suffix(a: Column, b: Column) -> Column:
     return shared_prefix(F.reverse(a), F.reverse(b))
+
+
+def parse_int(text: Column, base: int) -> Column:
+    """The signed number of 64 bits that a text begins with in a base from 2 to 36, after white space; signs that are
+    no digits end it, and null stands for a text that begins with none."""
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"[:base]
+    digits = f"[{digits}{digits.upper()}]+"
+    body = F.regexp_extract(text, rf"^\s*([+-]?)({digits})", 2)
+    value = F.conv(body, base, 10).cast("decimal(20,0)")
+    signed = F.when(F.regexp_extract(text, rf"^\s*([+-]?)({digits})", 1) == "-", -value).otherwise(value)
+    return F.when(body != "", signed.try_cast("long"))

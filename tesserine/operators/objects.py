@@ -3,15 +3,19 @@ names and transactions.
 
 A log has one row per operation: ``oid`` (the object), ``seq`` (its unique order) and what the
 operation carries. Operations whose effects combine (latest value, sums, layers) are plain
-aggregations, which combine before they shuffle; only operations that do not combine gather an
-object's log in order, which holds one object's operations in memory.
+aggregations, which combine before they shuffle. What depends on the order runs over ranges of the order
+(operators/ranges.py), so that no task holds an object. Only compare-and-set and the contents of a
+flow gather an object's log in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.operators.ranges import running_fold, running_sums
+from tesserine.sources.scratch import drop_scratch, scratch
+
 KEY = ["oid", "key"]
 
 
@@ -32,9 +36,11 @@ def layer_merge(layers: DataFrame) -> DataFrame:
 
 
 def insert(state: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with their status: OK, or KEY_EXISTS for a key that the set holds."""
+    """``rows`` (with seq) and their status: OK for the first of a key that the set lacks, else KEY_EXISTS."""
     held = state.select(*KEY, F.lit(True).alias("held"))
-    return rows.join(held, KEY, "left").withColumn("status", F.when(F.col("held"), "KEY_EXISTS").otherwise("OK")).drop("held")
+    first = rows.groupBy(*KEY).agg(F.min("seq").alias("first"))
+    status = F.when(F.col("held") | (F.col("seq") > F.col("first")), "KEY_EXISTS").otherwise("OK")
+    return rows.join(first, KEY).join(held, KEY, "left").withColumn("status", status).drop("held", "first")
 
 
 def upsert(state: DataFrame, rows: DataFrame) -> DataFrame:
@@ -63,14 +69,15 @@ def scan(state: DataFrame, count: int, key: str | None = None, include: bool = T
 
 def pages(state: DataFrame, size: int = 100) -> DataFrame:
     """Each item of a set with the page on which a scanner meets it."""
-    place = F.row_number().over(Window.partitionBy("oid").orderBy("key"))
-    return state.withColumn("page", F.floor((place - 1) / size).cast("int"))
+    placed = running_sums(state, ["oid"], ["key"], place=F.lit(1))
+    return placed.withColumn("page", F.floor(F.col("place") / size).cast("int")).drop("place")
 
 
 def blocks(state: DataFrame, block_bytes: int = 8192) -> DataFrame:
     """Each item with the block it falls in when a set is rewritten in key order."""
-    run = F.sum(F.octet_length("key") + F.octet_length("value")).over(Window.partitionBy("oid").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    return state.withColumn("block", F.floor((run - 1) / block_bytes).cast("int"))
+    size = F.octet_length("key") + F.octet_length("value")
+    placed = running_sums(state, ["oid"], ["key"], before=size)
+    return placed.withColumn("block", F.floor((F.col("before") + size - 1) / block_bytes).cast("int")).drop("before")
 
 
 def node_stats(state: DataFrame) -> DataFrame:
@@ -102,13 +109,13 @@ def compose(old: Column, new: Column) -> Column:
     return out
 
 
-def floor_lookup(probes: DataFrame, keys: DataFrame, up: bool = False) -> DataFrame:
+def floor_lookup(probes: DataFrame, keys: DataFrame, up: bool = False, strict: bool = False) -> DataFrame:
     """For each probe (oid, id, key), the greatest key of the set that is not above it (``up``: the
-    least not below). One sorted pass over both sides; nothing is compared pairwise."""
+    least not below); with ``strict``, that is below it (above it). One sorted pass over both sides by
+    ranges; nothing is compared pairwise."""
     both = probes.select("oid", "id", "key", F.lit(True).alias("asks")).unionByName(keys.select("oid", F.lit(None).cast("long").alias("id"), "key", F.lit(False).alias("asks")))
-    order = [F.desc("key"), "asks"] if up else ["key", "asks"]
-    w = Window.partitionBy("oid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("found", F.last(F.when(~F.col("asks"), F.col("key")), ignorenulls=True).over(w))
+    turn = F.desc("asks") if strict else F.asc("asks")  # of equal keys, probes come first if they must not see them
+    found = running_fold(both, ["oid"], [F.desc("key") if up else F.asc("key"), turn], F.when(~F.col("asks"), F.col("key")), F.min if up else F.max, "found")
     return found.filter("asks").drop("asks")
 
 
@@ -117,26 +124,53 @@ def floor_lookup(probes: DataFrame, keys: DataFrame, up: bool = False) -> DataFr
 
 def running_sum(log: DataFrame) -> DataFrame:
     """The value after each addition."""
-    w = Window.partitionBy("oid").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("value", F.sum("v").over(w))
+    return running_sums(log, ["oid"], ["seq"], before=F.col("v")).withColumn("value", F.col("before") + F.col("v")).drop("before")
+
+
+def _wrapped(x: Column) -> Column:
+    """A decimal as the signed 64-bit integer that it is congruent to."""
+    half, whole = (F.lit(str(1 << k)).cast("decimal(20,0)") for k in (63, 64))
+    return (F.pmod(x + half, whole) - half).cast("long")
 
 
 def _affine(log: DataFrame, by: list[str]) -> DataFrame:
     """Fold rows (a, b) of each ``by`` in order of seq: x -> a * x + b, one after another."""
     rows = F.array_sort(F.collect_list(F.struct("seq", "a", "b")))
     start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    both = F.aggregate(rows, start, lambda s, x: F.struct((x["a"] * s["a"]).alias("a"), (x["a"] * s["b"] + x["b"]).alias("b")))
-    return log.groupBy(*by).agg(both.alias("f"), F.min("seq").alias("seq")).select(*by, "seq", "f.a", "f.b")
+    wide = lambda x: x.cast("decimal(19,0)")
+    then = lambda s, x: F.struct(_wrapped(wide(x["a"]) * wide(s["a"])).alias("a"), _wrapped(wide(x["a"]) * wide(s["b"]) + wide(x["b"])).alias("b"))
+    return log.groupBy(*by).agg(F.aggregate(rows, start, then).alias("f"), F.min("seq").alias("seq")).select(*by, "seq", "f.a", "f.b")
 
 
-def fold_numbers(log: DataFrame, chunk: int = 4096) -> DataFrame:
-    """oid and final value, from 0, of logs of set, add and mul. Each is a map x -> a * x + b, and
-    such maps compose, so an object's log folds in chunks of seq first and then chunk by chunk: no
-    task holds more than ``chunk`` operations, or chunks, of an object."""
+def number_maps(log: DataFrame, chunk: int = 1024) -> DataFrame:
+    """oid, a and b: what logs of set, add and mul make of a number x, which is a * x + b. Each operation
+    is such a map and maps compose, so a log folds in chunks of seq, then in chunks of those, and so on: no
+    task holds more than ``chunk`` operations of an object. Numbers are 64 bits wide and wrap, as the maps'
+    parts do, so a value that fits is exact whatever its parts come to."""
     a = F.when(F.col("op") == "set", 0).when(F.col("op") == "mul", F.col("v")).otherwise(1).cast("long")
     b = F.when(F.col("op") == "mul", 0).otherwise(F.col("v")).cast("long")
-    rows = log.select("oid", "seq", a.alias("a"), b.alias("b"), F.floor(F.col("seq") / chunk).alias("chunk"))
-    return _affine(_affine(rows, ["oid", "chunk"]).drop("chunk"), ["oid"]).select("oid", F.col("b").alias("value"))
+    rows = log.select("oid", "seq", a.alias("a"), b.alias("b"))
+    ends = log.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    width, span = chunk, (ends.high - ends.low) if ends.low is not None else 0
+    while width <= span:
+        rows = _affine(rows.withColumn("chunk", F.floor((F.col("seq") - ends.low) / width)), ["oid", "chunk"]).drop("chunk")
+        width *= chunk
+    return _affine(rows, ["oid"]).select("oid", "a", "b")
+
+
+def fold_numbers(log: DataFrame, chunk: int = 1024) -> DataFrame:
+    """oid and final value, from 0."""
+    return number_maps(log, chunk).select("oid", F.col("b").alias("value"))
+
+
+def read_numbers(log: DataFrame, txns: DataFrame, me: int) -> DataFrame:
+    """oid and the value that transaction ``me`` reads: the committed operations, then its own."""
+    mine = F.col("txn_id") == me
+    others = log.join(txns, "txn_id", "left").filter(((F.col("txn_id") == 0) | (F.col("state") == "COMMITTED")) & ~mine)
+    base, own = fold_numbers(others), number_maps(log.filter(mine))
+    wide = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(19,0)")
+    value = F.when(F.col("a").isNull(), F.col("value")).otherwise(_wrapped(wide(F.col("a")) * wide(F.col("value")) + wide(F.col("b"))))
+    return base.join(own, "oid", "full").select("oid", value.alias("value"))
 
 
 def fold_cas(log: DataFrame) -> DataFrame:
@@ -150,21 +184,26 @@ def fold_cas(log: DataFrame) -> DataFrame:
 # -- deques: oid, seq, op (push_front, push_back, pop_front, pop_back), v ------------------------------------
 
 
-def fold_deques(log: DataFrame) -> DataFrame:
-    """oid, items (front first) and popped (in order; null for a pop of an empty deque)."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "op", "v")))
-    none = F.array().cast("array<bigint>")
-
-    def step(s, x):
-        items, n = s["items"], F.size(s["items"])
-        pops = x["op"].isin("pop_front", "pop_back")
-        gone = F.when(n == 0, None).when(x["op"] == "pop_front", F.try_element_at(items, F.lit(1))).otherwise(F.try_element_at(items, F.lit(-1)))
-        left = F.when(n == 0, items).when(x["op"] == "pop_front", F.slice(items, 2, F.greatest(n - 1, F.lit(0)))).otherwise(F.slice(items, 1, F.greatest(n - 1, F.lit(0))))
-        pushed = F.when(x["op"] == "push_front", F.array_prepend(items, x["v"])).otherwise(F.array_append(items, x["v"]))
-        return F.struct(F.when(pops, left).otherwise(pushed).alias("items"), F.when(pops, F.array_append(s["popped"], gone)).otherwise(s["popped"]).alias("popped"))
-
-    start = F.struct(none.alias("items"), none.alias("popped"))
-    return log.groupBy("oid").agg(F.aggregate(rows, start, step).alias("s")).select("oid", "s.*")
+def fold_deques(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(oid, place, v of what is left, front first; oid, seq, v of every pop, null where the deque was empty).
+
+    The size after a prefix of the log is its sum of +1 and -1 less the least such sum so far (or 0), so
+    running sums and minima tell which pops find something. With these, both ends move by running sums
+    as well, every push has a place on a line, and a pop takes the last push at its place before it."""
+    pops, front = F.col("op").isin("pop_front", "pop_back"), F.col("op").isin("push_front", "pop_front")
+    step = F.when(pops, -1).otherwise(1)
+    rows = running_sums(log.select("oid", "seq", "op", "v"), ["oid"], ["seq"], level=step)
+    rows = running_fold(rows, ["oid"], ["seq"], F.col("level"), F.min, "low")  # of the levels before each row
+    rows = rows.withColumn("finds", ~pops | (F.col("level") > F.least("low", F.lit(0))))
+    moves = lambda side: F.when(F.col("finds") & side, step).otherwise(0)
+    rows = running_sums(rows, ["oid"], ["seq"], ahead=moves(front), behind=moves(~front))
+    place = F.when(F.col("op") == "push_front", -F.col("ahead") - 1).when(F.col("op") == "pop_front", -F.col("ahead")).when(F.col("op") == "push_back", F.col("behind")).otherwise(F.col("behind") - 1)
+    rows = scratch(rows.filter("finds OR op LIKE 'pop%'").withColumn("place", F.when(F.col("finds"), place)), "deques")
+    live = running_fold(rows.filter("finds"), ["oid", "place"], ["seq"], F.when(~pops, F.struct("seq", "v")), F.max, "got")
+    taken = live.filter(pops).select("oid", "seq", F.col("got.v").alias("v"))
+    none = rows.filter("NOT finds").select("oid", "seq", F.lit(None).cast("long").alias("v"))
+    last = rows.filter("finds").groupBy("oid", "place").agg(F.max_by(F.struct("op", "v"), "seq").alias("x"))
+    return last.filter("x.op LIKE 'push%'").select("oid", "place", "x.v"), taken.unionByName(none)
 
 
 # -- flows: oid, seq, data ------------------------------------------------------------------------------------
@@ -172,8 +211,7 @@ def fold_deques(log: DataFrame) -> DataFrame:
 
 def flow_offsets(chunks: DataFrame) -> DataFrame:
     """Each appended chunk with the offset it begins at."""
-    w = Window.partitionBy("oid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("offset", F.coalesce(F.sum(F.length("data")).over(w), F.lit(0)).cast("long"))
+    return running_sums(chunks, ["oid"], ["seq"], offset=F.length("data").cast("long"))
 
 
 def flow_contents(chunks: DataFrame) -> DataFrame:
@@ -233,9 +271,12 @@ def invert(bits: DataFrame, start: int, size: int) -> DataFrame:
 
 
 def create_names(names: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` names with their status; a name that is there is reported, not replaced."""
-    held = names.select("name", F.col("oid").alias("held"))
-    return new.join(held, "name", "left").select("name", F.when(F.col("held").isNull(), "OK").otherwise("OBJECT_EXISTS").alias("status"))
+    """``new`` names (with seq) and their status: OK for the first request of a name that is not there, else
+    OBJECT_EXISTS; nothing is replaced."""
+    held = names.select("name", F.lit(True).alias("held"))
+    first = new.groupBy("name").agg(F.min("seq").alias("first"))
+    status = F.when(F.col("held") | (F.col("seq") > F.col("first")), "OBJECT_EXISTS").otherwise("OK")
+    return new.join(first, "name").join(held, "name", "left").select("name", "seq", status.alias("status"))
 
 
 def open_names(names: DataFrame, asked: DataFrame) -> DataFrame:
@@ -251,7 +292,34 @@ def visible(log: DataFrame, txns: DataFrame, me: int = 0) -> DataFrame:
     return latest(seen, KEY, F.struct((F.col("txn_id") == me) & F.lit(me != 0), "seq"), "value")
 
 
+def rolled_back(log: DataFrame, txns: DataFrame) -> DataFrame:
+    """Each key that a rolled back transaction wrote: how many of its writes are undone, and the value that
+    stays (null if there is none)."""
+    undone = log.join(txns.filter("state = 'ROLLEDBACK'"), "txn_id").groupBy(*KEY).agg(F.count("*").alias("undone"))
+    return undone.join(visible(log, txns), KEY, "left").select(*KEY, "undone", "value")
+
+
 def conflicts(log: DataFrame) -> DataFrame:
-    """Operations that the lock of another transaction rejects; the first writer of a key holds it."""
-    owner = log.groupBy(*KEY).agg(F.min_by("txn_id", "seq").alias("owner"))
-    return log.join(owner, KEY).filter(F.col("txn_id") != F.col("owner"))
+    """The writes that another transaction's lock rejects. ``log``: seq, txn_id, op, oid and key, where op is
+    write, commit or rollback. A write takes the lock of its key unless another transaction holds it, which
+    lasts from its write to its commit or rollback; a rejected write takes nothing.
+
+    Each write knows when its transaction ends and so which write could hold the lock next. The writes that do
+    hold it are the chain of these from a key's first write on, found by doubling: chains of n writes take
+    log2(n) rounds of joins, and no key is gathered."""
+    ends = log.filter("op <> 'write'").selectExpr("txn_id AS oid", "seq AS key")
+    writes = log.filter("op = 'write'")
+    until = floor_lookup(writes.selectExpr("txn_id AS oid", "seq AS id", "seq AS key"), ends, up=True, strict=True).selectExpr("id AS seq", "found AS until")
+    own = scratch(writes.select(F.struct(*KEY).alias("k"), *KEY, "seq", "txn_id").join(until, "seq"), "locks")
+    asks = own.filter("until IS NOT NULL").selectExpr("k AS oid", "seq AS id", "until AS key")
+    jump = scratch(floor_lookup(asks, own.selectExpr("k AS oid", "seq AS key"), up=True).filter("found IS NOT NULL").selectExpr("id AS at", "found AS to"), "jumps")
+    holds = scratch(own.groupBy(*KEY).agg(F.min("seq").alias("at")).select("at"), "holds")
+    while jump.count():
+        more = holds.join(jump, "at").selectExpr("to AS at")
+        last, holds = (holds, jump), scratch(holds.union(more).distinct(), "holds")
+        jump = scratch(jump.join(jump.selectExpr("at AS to", "to AS next"), "to").selectExpr("at", "next AS to"), "jumps")
+        drop_scratch(*last)
+    holder = own.join(holds.withColumnRenamed("at", "seq"), "seq").select("seq", F.struct("seq", "txn_id", "until").alias("lock"))
+    at = running_fold(own.join(holder, "seq", "left"), KEY, ["seq"], F.col("lock"), F.max, "held")
+    rejected = (F.col("held.txn_id") != F.col("txn_id")) & (F.col("held.until").isNull() | (F.col("held.until") > F.col("seq")))
+    return at.filter(rejected).select("seq", "txn_id", F.col("held.txn_id").alias("owner"))

@@ -24,11 +24,16 @@ def insert_default(df: DataFrame, defaults: dict | None = None) -> DataFrame:
     return df.unionByName(df.sparkSession.range(1).select(*row))
 
 
-def upsert(df: DataFrame, new: DataFrame, key: list[str], replace: bool = True) -> DataFrame:
-    """``df`` and ``new``; for a key of both, ``new`` replaces the row or is ignored."""
+def upsert(df: DataFrame, new: DataFrame, key: list[str], replace: bool = True, order: str | None = None) -> DataFrame:
+    """``df`` and ``new``; for a key of both, ``new`` replaces the row or is ignored. Of new rows with one key, the
+    last in ``order`` replaces the others, and the first is the one that is not ignored; without ``order``, the
+    rows' own order by their columns counts."""
+    by = F.struct(order) if order else F.struct(*new.columns)
+    pick = F.max_by if replace else F.min_by
+    own = new.groupBy(*key).agg(pick(F.struct(*[c for c in df.columns]), by).alias("_r")).select("_r.*")
     if replace:
-        return df.join(new, key, "left_anti").select(*df.columns).unionByName(new)
-    return df.unionByName(new.join(df, key, "left_anti").select(*new.columns))
+        return df.join(own, key, "left_anti").select(*df.columns).unionByName(own)
+    return df.unionByName(own.join(df, key, "left_anti").select(*df.columns))
 
 
 def update(df: DataFrame, where: Column, **values: Column) -> DataFrame:
@@ -42,10 +47,10 @@ def delete(df: DataFrame, where: Column) -> DataFrame:
 
 
 def merge(df: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Values of ``new`` where it has the key and a value, else those of ``df``."""
+    """The rows of ``new`` where it has the key, nulls and all, else those of ``df``."""
     rest = [c for c in df.columns if c not in key]
-    both = df.alias("a").join(new.alias("b"), key, "full")
-    return both.select(*key, *[F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in rest])
+    both = df.alias("a").join(new.withColumn("_new", F.lit(True)).alias("b"), key, "full")
+    return both.select(*key, *[F.when(F.col("_new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in rest])
 
 
 def add_column(df: DataFrame, name: str, kind: str) -> DataFrame:

@@ -50,9 +50,9 @@ LATEST = "n AS (SELECT oid, key, arg_max(value, seq) AS value FROM w GROUP BY oi
 # -- sorted sets -----------------------------------------------------------------------------------------
 
 
-@query("sset_insert", f"WITH {SET}, {WRITES}, {LATEST} SELECT n.oid, n.key, n.value, CASE WHEN s.key IS NULL THEN 'OK' ELSE 'KEY_EXISTS' END AS status FROM n LEFT JOIN s ON n.oid = s.oid AND n.key = s.key")
+@query("sset_insert", f"WITH {SET}, {WRITES} SELECT w.oid, w.key, w.value, w.seq, CASE WHEN s.key IS NULL AND row_number() OVER (PARTITION BY w.oid, w.key ORDER BY w.seq) = 1 THEN 'OK' ELSE 'KEY_EXISTS' END AS status FROM w LEFT JOIN s ON w.oid = s.oid AND w.key = s.key")
 def sset_insert(spark, sf):
-    return objects.insert(_set(spark, sf), objects.latest(_writes(spark, sf), objects.KEY, F.col("seq"), "value"))
+    return objects.insert(_set(spark, sf), _writes(spark, sf))
 
 
 @query("sset_upsert", f"WITH {SET}, {WRITES}, {LATEST} SELECT s.oid, s.key, s.value FROM s LEFT JOIN n ON n.oid = s.oid AND n.key = s.key WHERE n.key IS NULL UNION ALL SELECT oid, key, value FROM n")
@@ -149,6 +149,14 @@ for _name, _up, _sql in (("lookup_floor", False, "max(c.c_acctbal)"), ("lookup_c
 
     query(_name, f"SELECT s.s_nationkey AS oid, s.s_suppkey AS id, s.s_acctbal AS key, {_sql} AS found FROM supplier s LEFT JOIN customer c ON c.c_nationkey = s.s_nationkey AND c.c_acctbal {'>=' if _up else '<='} s.s_acctbal GROUP BY ALL")(_lookup)
 
+for _name, _up, _sql in (("lookup_below", False, "max(b.o_orderkey)"), ("lookup_above", True, "min(b.o_orderkey)")):
+
+    def _neighbour(spark, sf, up=_up):
+        own = table(spark, sf, "orders")
+        return objects.floor_lookup(own.selectExpr("o_custkey AS oid", "o_orderkey AS id", "o_orderkey AS key"), own.selectExpr("o_custkey AS oid", "o_orderkey AS key"), up, strict=True).select("oid", "key", "found")
+
+    query(_name, f"SELECT a.o_custkey AS oid, a.o_orderkey AS key, {_sql} AS found FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderkey {'>' if _up else '<'} a.o_orderkey GROUP BY ALL")(_neighbour)
+
 
 @query("cache_lru_survivors", "SELECT user_id, max(event_id) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC LIMIT 50")
 def cache_lru_survivors(spark, sf):
@@ -159,33 +167,43 @@ def cache_lru_survivors(spark, sf):
 
 
 def _ops(spark, sf) -> DataFrame:
-    """signup sets, view turns the sign, the others add."""
-    v = (F.floor("value").cast("long") % 7 - F.when(F.col("event_type") == "click", 5).otherwise(0)).cast("long")
+    """signup sets, view multiplies by -3 to 3, the others add; a view whose factor is 0 multiplies by a million."""
+    n = F.floor("value").cast("long") % 7
+    factor = F.when(n == 3, 1_000_000).otherwise(n - 3)
+    v = n - F.when(F.col("event_type") == "click", 5).otherwise(0)
     op = F.when(F.col("event_type") == "signup", "set").when(F.col("event_type") == "view", "mul").otherwise("add")
-    return table(spark, sf, "events").select(F.col("user_id").alias("oid"), F.col("event_id").alias("seq"), op.alias("op"), F.when(op == "mul", -1).otherwise(v).cast("long").alias("v"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("oid"), F.col("event_id").alias("seq"), op.alias("op"), F.when(op == "mul", factor).otherwise(v).cast("long").alias("v"), (F.col("event_id") % 10).alias("txn_id"))
 
 
 OPS = """o AS (SELECT user_id oid, event_id seq, CASE event_type WHEN 'signup' THEN 'set' WHEN 'view' THEN 'mul' ELSE 'add' END op,
-  CASE WHEN event_type = 'view' THEN -1 ELSE CAST(floor(value) AS BIGINT) % 7 - CASE WHEN event_type = 'click' THEN 5 ELSE 0 END END v FROM events)"""
+  CASE WHEN event_type <> 'view' THEN CAST(floor(value) AS BIGINT) % 7 - CASE WHEN event_type = 'click' THEN 5 ELSE 0 END
+  WHEN CAST(floor(value) AS BIGINT) % 7 = 3 THEN 1000000 ELSE CAST(floor(value) AS BIGINT) % 7 - 3 END v, event_id % 10 txn_id FROM events)"""
 #: An ordered fold as recursion: {x} is the table of operations, {step} the new value of f.a.
 FOLD = """WITH RECURSIVE {x}, n AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY seq) rn FROM o),
 f AS (SELECT DISTINCT oid, CAST(0 AS BIGINT) rn, {start} FROM n UNION ALL SELECT f.oid, n.rn, {step} FROM f JOIN n ON n.oid = f.oid AND n.rn = f.rn + 1)
 SELECT oid, {out} FROM f GROUP BY oid"""
+#: Steps of a number of 64 bits, which wraps.
+_WHOLE = "CASE n.op WHEN 'set' THEN CAST(n.v AS HUGEINT) WHEN 'mul' THEN CAST(f.a AS HUGEINT) * n.v ELSE CAST(f.a AS HUGEINT) + n.v END"
+_STEP64 = f"CAST(((({_WHOLE}) + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808 AS BIGINT)"
 
 
-@query("number_fold", FOLD.format(x=OPS, start="CAST(0 AS BIGINT) a", step="CAST(CASE n.op WHEN 'set' THEN n.v WHEN 'mul' THEN f.a * n.v ELSE f.a + n.v END AS BIGINT)", out="arg_max(a, rn) AS value"))
+@query("number_fold", FOLD.format(x=OPS, start="CAST(0 AS BIGINT) a", step=_STEP64, out="arg_max(a, rn) AS value"))
 def number_fold(spark, sf):
     return objects.fold_numbers(_ops(spark, sf))
 
 
-@query("number_mul", FOLD.format(x=OPS.replace("FROM events)", "FROM events WHERE event_type IN ('signup', 'view'))"), start="CAST(0 AS BIGINT) a", step="CAST(CASE n.op WHEN 'set' THEN n.v ELSE f.a * n.v END AS BIGINT)", out="arg_max(a, rn) AS value"))
+@query("number_mul", FOLD.format(x=OPS.replace("FROM events)", "FROM events WHERE event_type IN ('signup', 'view'))"), start="CAST(0 AS BIGINT) a", step=_STEP64, out="arg_max(a, rn) AS value"))
 def number_mul(spark, sf):
     return objects.fold_numbers(_ops(spark, sf).filter("op <> 'add'"))
 
 
-@query("number_get", f"WITH {OPS} SELECT oid, arg_max(v, seq) AS value FROM o WHERE op = 'set' AND oid < 50 GROUP BY oid")
+_SEEN = OPS.replace("o AS (", "o0 AS (") + ", o AS (SELECT oid, op, v, row_number() OVER (PARTITION BY oid ORDER BY txn_id = 2, seq) seq FROM o0 WHERE txn_id % 3 = 0 OR txn_id = 2)"
+
+
+@query("number_get", FOLD.format(x=_SEEN, start="CAST(0 AS BIGINT) a", step=_STEP64, out="arg_max(a, rn) AS value"))
 def number_get(spark, sf):
-    return objects.latest(_ops(spark, sf).filter("op = 'set' AND oid < 50").withColumnRenamed("v", "value"), ["oid"], F.col("seq"), "value")
+    """What transaction 2 reads: committed operations, then its own."""
+    return objects.read_numbers(_ops(spark, sf), _txns(spark, sf), me=2)
 
 
 @query("number_set", f"WITH {OPS} SELECT oid, arg_max(v, seq) AS value, count(*) AS n FROM o WHERE op = 'set' GROUP BY oid")
@@ -224,7 +242,7 @@ _MOVES = {"signup": "push_front", "purchase": "push_back", "click": "push_back",
 _MOVE_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _MOVES.items()) + " END"
 _DEQUE_STEP = """CASE n.op WHEN 'push_front' THEN list_prepend(n.seq, f.a) WHEN 'push_back' THEN list_append(f.a, n.seq)
   WHEN 'pop_front' THEN f.a[2:] ELSE f.a[:len(f.a)-1] END,
-  CASE WHEN n.op LIKE 'push%' THEN f.p WHEN n.op = 'pop_front' THEN list_append(f.p, f.a[1]) ELSE list_append(f.p, f.a[len(f.a)]) END"""
+  CASE WHEN n.op LIKE 'push%' THEN f.p WHEN n.op = 'pop_front' THEN list_append(f.p, {'seq': n.seq, 'v': f.a[1]}) ELSE list_append(f.p, {'seq': n.seq, 'v': f.a[len(f.a)]}) END"""
 
 for _name, _used in {
     "deque_fold": tuple(_MOVES.values()), "deque_push_back": ("push_back",), "deque_push_front": ("push_front",),
@@ -234,16 +252,15 @@ for _name, _used in {
     def _deque(spark, sf, used=_used):
         op = F.create_map(*[F.lit(x) for kv in _MOVES.items() for x in kv])[F.col("event_type")]
         log = table(spark, sf, "events").select(F.col("user_id").alias("oid"), F.col("event_id").alias("seq"), op.alias("op"), F.col("event_id").alias("v"))
-        show = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "-")
-        return objects.fold_deques(log.filter(F.col("op").isin(*used))).select("oid", show("items").alias("items"), show("popped").alias("popped"))
+        left, popped = objects.fold_deques(log.filter(F.col("op").isin(*used)))
+        return left.select("oid", F.lit("left").alias("kind"), "v").unionByName(popped.select("oid", F.concat(F.lit("pop "), F.col("seq").cast("string")).alias("kind"), "v"))
 
     query(
         _name,
         FOLD.format(
             x=f"o AS (SELECT user_id oid, event_id seq, {_MOVE_SQL} op FROM events WHERE {_MOVE_SQL} IN ({', '.join(repr(u) for u in dict.fromkeys(_used))}))",
-            start="CAST([] AS BIGINT[]) a, CAST([] AS BIGINT[]) p", step=_DEQUE_STEP,
-            out="coalesce(array_to_string(arg_max(a, rn), ','), '') AS items, coalesce(array_to_string(list_transform(arg_max(p, rn), lambda x: coalesce(CAST(x AS VARCHAR), '-')), ','), '') AS popped",
-        ),
+            start="CAST([] AS BIGINT[]) a, CAST([] AS STRUCT(seq BIGINT, v BIGINT)[]) p", step=_DEQUE_STEP, out="arg_max(a, rn) AS items, arg_max(p, rn) AS popped",
+        ).replace("SELECT oid, arg_max(a, rn) AS items", ", e AS (SELECT oid, arg_max(a, rn) AS items") + ") SELECT oid, 'left' AS kind, unnest(items) AS v FROM e UNION ALL SELECT oid, 'pop ' || x.seq, x.v FROM (SELECT oid, unnest(popped) AS x FROM e)",
     )(_deque)
 
 
@@ -320,13 +337,13 @@ def _names(spark, sf) -> DataFrame:
 
 
 def _asked(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").select(F.concat(F.lit("Customer#"), F.lpad((F.col("event_id") * 3).cast("string"), 9, "0")).alias("name"))
+    return table(spark, sf, "events").select(F.concat(F.lit("Customer#"), F.lpad((F.col("event_id") % 700 * 3).cast("string"), 9, "0")).alias("name"), F.col("event_id").alias("seq"))
 
 
-ASKED = "q AS (SELECT 'Customer#' || lpad(CAST(event_id * 3 AS VARCHAR), 9, '0') AS name FROM events)"
+ASKED = "q AS (SELECT 'Customer#' || lpad(CAST(event_id % 700 * 3 AS VARCHAR), 9, '0') AS name, event_id AS seq FROM events)"
 
 
-@query("ns_create", f"WITH {ASKED} SELECT q.name, CASE WHEN c.c_name IS NULL THEN 'OK' ELSE 'OBJECT_EXISTS' END AS status FROM q LEFT JOIN customer c ON c.c_name = q.name")
+@query("ns_create", f"WITH {ASKED} SELECT q.name, q.seq, CASE WHEN c.c_name IS NULL AND row_number() OVER (PARTITION BY q.name ORDER BY q.seq) = 1 THEN 'OK' ELSE 'OBJECT_EXISTS' END AS status FROM q LEFT JOIN customer c ON c.c_name = q.name")
 def ns_create(spark, sf):
     return objects.create_names(_names(spark, sf), _asked(spark, sf))
 
@@ -343,7 +360,7 @@ def ns_delete(spark, sf):
 
 @query("ns_rename", f"WITH {ASKED} SELECT CASE WHEN c_name IN (SELECT name FROM q) THEN 'New' || c_name ELSE c_name END AS name, c_custkey AS oid FROM customer")
 def ns_rename(spark, sf):
-    to = _asked(spark, sf).distinct().select("name", F.concat(F.lit("New"), "name").alias("to"))
+    to = _asked(spark, sf).select("name").distinct().select("name", F.concat(F.lit("New"), "name").alias("to"))
     return _names(spark, sf).join(to, "name", "left").select(F.coalesce("to", "name").alias("name"), "oid")
 
 
@@ -368,14 +385,27 @@ def txn_own_read(spark, sf):
     return objects.visible(_txn_log(spark, sf), _txns(spark, sf), me=2)
 
 
-@query("txn_rollback", f"WITH {LOG} SELECT txn_id, count(*) AS undone FROM l WHERE txn_id % 3 = 1 GROUP BY txn_id")
+@query("txn_rollback", f"WITH {LOG}, u AS (SELECT oid, key, count(*) AS undone FROM l WHERE txn_id % 3 = 1 GROUP BY oid, key), k AS (SELECT oid, key, arg_max(value, seq) AS value FROM l WHERE txn_id % 3 = 0 GROUP BY oid, key) SELECT u.oid, u.key, u.undone, k.value FROM u LEFT JOIN k ON u.oid = k.oid AND u.key = k.key")
 def txn_rollback(spark, sf):
-    return _txn_log(spark, sf).join(_txns(spark, sf), "txn_id").filter("state = 'ROLLEDBACK'").groupBy("txn_id").agg(F.count("*").alias("undone"))
+    return objects.rolled_back(_txn_log(spark, sf), _txns(spark, sf))
+
 
+_HOLD = "f.t IS NULL OR (f.r IS NOT NULL AND f.r < n.seq)"
 
-@query("txn_lock_conflicts", f"WITH {LOG}, w AS (SELECT oid, key, arg_min(txn_id, seq) AS owner FROM l GROUP BY oid, key) SELECT l.seq, l.txn_id, w.owner FROM l JOIN w ON l.oid = w.oid AND l.key = w.key WHERE l.txn_id <> w.owner")
+
+@query(
+    "txn_lock_conflicts",
+    f"""WITH RECURSIVE l AS (SELECT event_id AS seq, user_id % 7 AS txn_id, CASE event_type WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'rollback' ELSE 'write' END AS op, event_id % 5 AS oid, event_type AS key FROM events),
+o AS (SELECT w.seq, w.txn_id, w.oid, w.key, min(e.seq) AS r FROM l w LEFT JOIN l e ON e.op <> 'write' AND e.txn_id = w.txn_id AND e.seq > w.seq WHERE w.op = 'write' GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY oid, key ORDER BY seq) AS rn FROM o),
+f AS (SELECT DISTINCT oid, key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS t, CAST(NULL AS BIGINT) AS r, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS txn_id FROM n
+UNION ALL SELECT f.oid, f.key, n.rn, CASE WHEN {_HOLD} THEN n.txn_id ELSE f.t END, CASE WHEN {_HOLD} THEN n.r ELSE f.r END, n.seq, n.txn_id FROM f JOIN n ON n.oid = f.oid AND n.key = f.key AND n.rn = f.rn + 1)
+SELECT seq, txn_id, t AS owner FROM f WHERE txn_id <> t""",
+)
 def txn_lock_conflicts(spark, sf):
-    return objects.conflicts(_txn_log(spark, sf)).select("seq", "txn_id", "owner")
+    op = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "rollback").otherwise("write")
+    log = table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 7).alias("txn_id"), op.alias("op"), (F.col("event_id") % 5).alias("oid"), F.col("event_type").alias("key"))
+    return objects.conflicts(log)
 
 
 # -- tables --------------------------------------------------------------------------------------------------------
@@ -444,6 +474,13 @@ query("hist_percentile", _PERCENTILE.format("(25), (90), (99), (100)"))(lambda s
 query("hist_median", _PERCENTILE.format("(50)"))(lambda spark, sf: metrics.histogram_percentile(table(spark, sf, "events"), "value", BOUNDS, (50,)))
 
 
+#: Upper bounds of I/O latencies in microseconds; fixed values.
+LATENCIES = (5, 10, 20, 50, 1_000, 5_000, 10_000, 25_000, 50_000, 100_000, 250_000, 500_000, 1_000_000, 2_000_000, 5_000_000, 10_000_000)
+query("hist_io_latency", "SELECT CASE " + " ".join(f"WHEN value * value * 100 <= {b} THEN {k}" for k, b in enumerate(LATENCIES)) + f" ELSE {len(LATENCIES)} END AS bucket, count(*) AS n FROM events GROUP BY 1")(
+    lambda spark, sf: metrics.histogram(table(spark, sf, "events").withColumn("us", F.col("value") * F.col("value") * 100), "us", LATENCIES).select("bucket", "n")
+)
+
+
 @query("hist_stats", "SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, round(coalesce(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(*), 0), 0), 6) AS average FROM events GROUP BY event_type")
 def hist_stats(spark, sf):
     total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
@@ -463,8 +500,12 @@ def _over(name: str, source: str, key: str, out: str, make, sql: str | None = No
     query(name, sql)(lambda spark, sf: table(spark, sf, source).select(key, make().alias(out)))
 
 
-_over("fn_human_size", "orders", "o_orderkey", "size", lambda: scalars.human_size((F.col("o_totalprice") * F.col("o_orderkey")).cast("long")))
-_over("fn_human_time", "orders", "o_orderkey", "time", lambda: scalars.human_time((F.col("o_totalprice") * F.col("o_orderkey")).cast("long")))
+_N = "CAST(floor(o_totalprice * o_orderkey) AS HUGEINT)"
+#: A number of units with two digits, halves rounded up.
+_UNITS = lambda size, unit: f"WHEN n >= {size} THEN (2 * n * 100 + {size}) // {2 * size} // 100 || '.' || lpad(CAST((2 * n * 100 + {size}) // {2 * size} % 100 AS VARCHAR), 2, '0') || '{unit}'"
+_over("fn_human_size", "orders", "o_orderkey", "size", lambda: scalars.human_size((F.col("o_totalprice") * F.col("o_orderkey")).cast("long")), f"SELECT o_orderkey, CASE {' '.join(_UNITS(1 << 10 * k, u) for k, u in reversed(list(enumerate(scalars.SIZES, 1))))} ELSE n || 'bytes' END AS size FROM (SELECT o_orderkey, {_N} AS n FROM orders)")
+_over("fn_human_time", "orders", "o_orderkey", "time", lambda: scalars.human_time((F.col("o_totalprice") * F.col("o_orderkey")).cast("long")), f"SELECT o_orderkey, CASE {' '.join(_UNITS(k, u) for k, u in reversed(scalars.TIMES))} ELSE n || 'usec' END AS time FROM (SELECT o_orderkey, {_N} AS n FROM orders)")
+_over("fn_parse_int_base", "part", "p_partkey", "n", lambda: scalars.parse_int(F.concat(F.lit(" -"), F.hex("p_partkey"), F.lit("zz")), 16), "SELECT p_partkey, -p_partkey AS n FROM part")
 _over("fn_zigzag", "part", "p_partkey", "z", lambda: scalars.zigzag(F.col("p_size").cast("long") - 25), "SELECT p_partkey, CAST(CASE WHEN p_size < 25 THEN -2 * (p_size - 25) - 1 ELSE 2 * (p_size - 25) END AS BIGINT) AS z FROM part")
 _CASES = lambda bits, most: "CASE " + " ".join(f"WHEN v < CAST({1 << bits * k} AS HUGEINT) THEN {k}" for k in range(1, most)) + f" ELSE {most} END"
 _over("fn_varint_size", "orders", "o_orderkey", "n", lambda: scalars.varint_size(F.col("o_orderkey") * F.col("o_custkey") * 1000), f"SELECT o_orderkey, {_CASES(7, 9)} AS n FROM (SELECT o_orderkey, o_orderkey * o_custkey * 1000 AS v FROM orders)")
@@ -483,10 +524,28 @@ for _kind_, _step_ in _STEP.items():
         f"udf_hash_{_kind_}", "customer", "c_custkey", "h", lambda k=_kind_: hashes.rolling(k, 5)(F.col("c_name")),
         f"SELECT c_custkey, CAST(list_reduce(list_prepend(CAST(5 AS HUGEINT), list_transform(range(1, length(c_name) + 1), lambda i: CAST(unicode(substr(c_name, i, 1)) AS HUGEINT))), lambda h, c: CAST({_step_} AS HUGEINT)) AS BIGINT) AS h FROM customer",
     )
-_over("udf_murmur3", "customer", "c_custkey", "h", lambda: hashes.murmur3(42)(F.col("c_name")))
-_over("udf_adler32", "customer", "c_custkey", "h", lambda: hashes.adler32(F.col("c_name")))
-_over("udf_crc32c", "customer", "c_custkey", "h", lambda: hashes.crc32c(F.col("c_name")))
-_over("udf_lcg_rand", "customer", "c_custkey", "r", lambda: hashes.lcg_rand(F.col("c_custkey")))
+_BYTES = "list_transform(range(1, length(c_name) + 1), lambda i: CAST(unicode(substr(c_name, i, 1)) AS HUGEINT))"
+_ROT = lambda x, k: f"((({x} << {k}) | ({x} >> {32 - k})) {_M})"
+_MIXED = f"list_transform(list_transform(list_transform({{}}, lambda k: (k * 3432918353) {_M}), lambda k: {_ROT('k', 15)}), lambda k: (k * 461845907) {_M})"
+_over(
+    "udf_murmur3", "customer", "c_custkey", "h", lambda: hashes.murmur3(42)(F.col("c_name")),
+    f"""WITH b AS (SELECT c_custkey, {_BYTES} AS b FROM customer),
+w AS (SELECT c_custkey, len(b) AS n, {_MIXED.format("list_transform(range(0, len(b) // 4), lambda i: b[4*i+1] + b[4*i+2] * 256 + b[4*i+3] * 65536 + b[4*i+4] * 16777216)")} AS k,
+  {_MIXED.format("[coalesce(b[len(b)//4*4+1], 0) + coalesce(b[len(b)//4*4+2], 0) * 256 + coalesce(b[len(b)//4*4+3], 0) * 65536]")}[1] AS rest FROM b),
+r AS (SELECT c_custkey, xor(xor(list_reduce(list_prepend(CAST(42 AS HUGEINT), k), lambda h, k: CAST(({_ROT('xor(h, k)', 13)} * 5 + 3864292196) {_M} AS HUGEINT)), rest), n) AS h FROM w),
+x AS (SELECT c_custkey, (xor(h, h >> 16) * 2246822507) {_M} AS h FROM r), y AS (SELECT c_custkey, (xor(h, h >> 13) * 3266489909) {_M} AS h FROM x)
+SELECT c_custkey, CAST(xor(h, h >> 16) AS BIGINT) AS h FROM y""",
+)
+_over("udf_adler32", "customer", "c_custkey", "h", lambda: hashes.adler32(F.col("c_name")), f"WITH b AS (SELECT c_custkey, {_BYTES} AS b FROM customer) SELECT c_custkey, CAST((len(b) + list_sum(list_transform(range(1, len(b) + 1), lambda i: b[i] * (len(b) + 1 - i)))) % 65521 * 65536 + (1 + list_sum(b)) % 65521 AS BIGINT) AS h FROM b")
+_over(
+    "udf_crc32c", "customer", "c_custkey", "h", lambda: hashes.crc32c(F.col("c_name")),
+    f"SELECT c_custkey, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS HUGEINT), flatten(list_transform({_BYTES}, lambda c: [c, 0, 0, 0, 0, 0, 0, 0]))), lambda h, c: CAST(xor(xor(h, c) >> 1, (xor(h, c) & 1) * 2197175160) AS HUGEINT)), 4294967295) AS BIGINT) AS h FROM customer",
+)
+_LCG = lambda x: f"(({x}) * 1103515245 + 12345) {_M}"
+_over(
+    "udf_lcg_rand", "customer", "c_custkey", "r", lambda: hashes.lcg_rand(F.col("c_custkey")),
+    f"WITH a AS (SELECT c_custkey, {_LCG('CAST(c_custkey AS HUGEINT)')} AS x FROM customer), b AS (SELECT c_custkey, x, {_LCG('x')} AS y FROM a), c AS (SELECT *, {_LCG('y')} AS z FROM b) SELECT c_custkey, CAST(xor(xor(((x >> 16) & 2047) << 10, (y >> 16) & 1023) << 10, (z >> 16) & 1023) AS BIGINT) AS r FROM c",
+)
 
 
 @query("udf_scalar", "SELECT p_partkey, p_size * p_size + 1 AS v FROM part")
@@ -521,5 +580,5 @@ query("stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) O
 )
 query("stream_dedup_watermark", "SELECT event_id, user_id FROM events")(lambda spark, sf: streams.finish(streams.first_of_each(streams.source(spark, sf)), "append"))
 query("stream_number_state", "SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END) AS BIGINT) AS value FROM events GROUP BY user_id")(
-    lambda spark, sf: streams.finish(streams.numbers(streams.source(spark, sf)), "update")
+    lambda spark, sf: streams.finish(streams.numbers(streams.source(spark, sf)), "update", ["user_id"])
 )

@@ -5,24 +5,17 @@ State lives in checkpoints in the shared folder; each result is a Parquet table
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-LATE = "1 hour"
-
+from tesserine.sources.scratch import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one where the session has none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tesserine-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+LATE = "1 hour"
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,18 +24,36 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finish(stream: DataFrame, mode: str) -> DataFrame:
-    """Run over all input there is; each batch of a complete query replaces the one before."""
-    spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    save = "overwrite" if mode == "complete" else "append"
+def sink(at: str):
+    """Writer of batches, each into a folder of its own number, so that a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batch={number}")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode(save).parquet(f"{at}/out")
+    return write
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+
+def result(spark: SparkSession, at: str, schema, mode: str, keys: list[str]) -> DataFrame:
+    """What the batches come to: the last one of a complete query, all rows that were appended, or for each
+    of ``keys`` its latest row."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", at).parquet(at)
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.filter(F.col("batch") == F.lit(last))
+    if mode == "update":
+        rest = [c for c in rows.columns if c not in (*keys, "batch")]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    return rows.drop("batch")
+
+
+def finish(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run over all input there is. ``keys``: of the rows of an update query."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out/batch=-1")
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return result(spark, f"{at}/out", StructType(stream.schema.fields), mode, keys or [])
 
 
 def windowed(events: DataFrame, window) -> DataFrame:
