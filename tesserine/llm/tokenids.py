@@ -1,7 +1,8 @@
 """Token ids in binary form, compressed by Re-Pair grammars.
 
 Documents are encoded, closed with the end id and dealt out by ranges of doc_id, so that shard
-after shard holds them in ascending order. Each shard is cut into blocks of whole documents. In a
+after shard holds them in ascending order. Each shard is cut into blocks of whole documents, of about
+``BLOCK_TOKENS`` tokens, which are what a task holds at once; a block has a grammar of its own. In a
 block, frequent pairs of neighbouring ids are replaced by nonterminals again and again; a block
 stores its rules, the length that each rule expands to, and the remaining sequence. The lengths
 tell where a token lies, so any slice is decoded without the rest of the block (``read_slice``).
@@ -51,7 +52,7 @@ RESULT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def _choose(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     """The pairs (as left << 32 | right, sorted) to replace in one round: the most frequent ones
     such that no id is a left member of one and a right member of another, which keeps their
-    places apart. A pair of equal ids is left to a later round's longer symbols."""
+    places apart. The id of a pair of equal ids is in no other pair."""
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count = np.diff(np.append(first, len(keys)))
@@ -62,7 +63,7 @@ def _choose(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     pairs = keys[first[often]]
     lefts, rights, chosen = set(), set(), []
     for key, a, b in zip(pairs.tolist(), (pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True):
-        if a != b and a not in rights and b not in lefts:
+        if a not in rights and b not in lefts and (a != b or a not in lefts and a not in rights):
             lefts.add(a)
             rights.add(b)
             chosen.append(key)
@@ -70,7 +71,9 @@ def _choose(keys: np.ndarray, least: int, most: int) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, least: int = 6, rounds: int = 24, most: int = 4096) -> bytes:
-    """Payload of one block. ``least``: occurrences that make a rule worth its 12 bytes."""
+    """Payload of one block. ``least``: occurrences that make a rule worth its 12 bytes. A round replaces up to
+    ``most`` pairs at once; rounds end where no pair occurs ``least`` times, after ``rounds``, or once a round
+    shortens the sequence by less than 0.4 per cent."""
     base = int(ids.max()) + 1 if len(ids) else 0
     s = ids.astype(np.uint32)
     left, right, lengths = [], [], [np.ones(base, np.uint32)]
@@ -89,6 +92,12 @@ def compress(ids: np.ndarray, least: int = 6, rounds: int = 24, most: int = 4096
         rank = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
         hit = pairs[rank] == keys[at]
         at, rank = at[hit], rank[hit]
+        twin = a[rank] == b[rank]
+        if twin.any():  # in a run of one id, every other place
+            runs = at[twin]
+            first = np.diff(runs, prepend=-2) > 1
+            twin[twin] = (runs - np.maximum.accumulate(np.where(first, runs, 0))) % 2 == 1
+            at, rank = at[~twin], rank[~twin]
         s[at] = (size + rank).astype(np.uint32)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False

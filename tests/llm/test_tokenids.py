@@ -46,3 +46,12 @@ def test_edges(spark):
 def test_whole_table(spark, sf):
     found = tokenids.op3_token_ids(spark, sf).orderBy("start")
     assert [tuple(r) for r in found.collect()] == want(table(spark, sf, "documents"))
+
+
+def test_runs_of_one_id():
+    ids = np.full(100_000, 7, np.uint32)
+    payload = tokenids.compress(ids)
+    assert len(payload) < 1000 and (tokenids.decompress(payload) == ids).all()
+    mixed = np.concatenate([np.repeat(np.array([3, 9], np.uint32), 501), np.arange(50, dtype=np.uint32), np.full(77, 9, np.uint32)])
+    assert (tokenids.decompress(tokenids.compress(mixed, least=2)) == mixed).all()
+    assert tokenids.read_slice(payload, 99_990, 10).tolist() == [7] * 10
