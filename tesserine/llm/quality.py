@@ -5,7 +5,7 @@ classes, word lengths, repetition and a hashed histogram of word shapes, and enc
 layer. Gated attention (tanh times sigmoid) weighs the passages, and the weighted mean of their
 codes gives the score. Everything is learnt from labels of whole documents, in numpy, on at most
 ``max_train`` labelled documents drawn by a hash of their id; their passages' features are
-computed by Spark and only those reach the driver. Scoring reads whole texts in batches.
+computed by Spark and only those reach the driver, ``max_bytes`` of them at most. Scoring reads whole texts in batches.
 
 Nulls and edge cases: a null or empty text is one passage of zeros and is scored like any other;
 rows without a label or doc_id are not learnt from; a document with several labels counts as good if
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.common import WS_CHARS, freed, row_of, slices, table, with_row
-from tesserine.llm.textnum import bounded, codes, letters, mix, remainder, word_hashes, words
+from tesserine.llm.textnum import bounded, codes, letters, mix, remainder, within_bytes, word_hashes, words
 
 PASSAGE = 64
 SHAPES = 32
@@ -31,6 +31,8 @@ SIGNS = "\n.,!?|#*$%&<>@"
 CLASSES = 6 + len(SIGNS)
 FEATURES = CLASSES + 7 + SHAPES
 MAX_TRAIN = 10_000
+#: Bytes of passages' features that reach the driver.
+MAX_BYTES = 64 << 20
 HIDDEN, GATE = 24, 12
 
 
@@ -176,7 +178,7 @@ def labelled(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFram
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        max_train: int = MAX_TRAIN) -> Attention:
+        max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Attention:
     """Learn from the labelled documents; the sample of labels is bounded, and so broadcast."""
     drawn = bounded(labelled(labels, label_col), max_train)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -190,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 raw = [x[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), batch.column("y").slice(first, len(texts)), pa.array(raw, pa.binary())], ["doc_id", "y", "x"])
 
-    rows = own.join(F.broadcast(drawn), "doc_id").mapInArrow(freed(run), "doc_id long, y int, x binary").toPandas()
+    rows = within_bytes(own.join(F.broadcast(drawn), "doc_id").mapInArrow(freed(run), "doc_id long, y int, x binary"), "x", max_bytes)
     rows = rows.sort_values(["doc_id", "y", "x"], ignore_index=True)
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, FEATURES)
     size = np.array([len(r) // (4 * FEATURES) for r in rows["x"]], np.int64)

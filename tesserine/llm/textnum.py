@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.llm.common import drop_scratch, scratch
+
 #: Multiplier of the polynomial word hash, and the longest power table.
 MUL, POWERS = 0x9E3779B97F4A7C15, 64
 
@@ -73,3 +75,18 @@ def bounded(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
         return rows
     buckets = 1 << 20
     return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(buckets)) < max(1, most * buckets // n))
+
+
+def within_bytes(rows: DataFrame, column: str, most: int) -> "pandas.DataFrame":  # noqa: F821
+    """The rows (with doc_id) in the driver, if ``column`` holds ``most`` bytes of them or less; else as many whole
+    ones as fit, drawn by a hash of the id, and none of over an eighth of that. Sizes come first, one number a row."""
+    rows = scratch(rows.withColumn("draw", F.xxhash64("doc_id", F.lit("bytes"))), "sample")
+    sizes = rows.select("draw", F.octet_length(column).alias("n")).toPandas().sort_values(["draw", "n"])
+    found = rows
+    if sizes["n"].sum() > most:
+        fit = sizes[sizes["n"] <= most // 8]
+        fit = fit[fit["n"].cumsum() <= most]
+        found = rows.filter((F.octet_length(column) <= most // 8) & (F.col("draw") < int(fit["draw"].max()))) if len(fit) else rows.limit(0)
+    out = found.drop("draw").toPandas()
+    drop_scratch(rows)
+    return out

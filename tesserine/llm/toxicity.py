@@ -3,7 +3,7 @@
 Words (runs of letters, in lower case) and their prefixes are hashed into a table of embeddings. Filters of several
 widths slide over all words of the whole text; each filter's largest response in the text, through
 a rectifier, feeds one logistic unit. Training uses Adam on at most ``max_each`` labelled documents
-of either class, drawn by a hash of their id; the intercept is then set back to the true shares of
+of either class, drawn by a hash of their id, of ``max_bytes`` together at most; the intercept is then set back to the true shares of
 the classes. For each language a threshold with the fewest weighted errors is chosen on all
 labelled rows that the network has not seen (a fifth of the draw, and whatever was not drawn), from
 counts by language and binned logit, and the score is shifted so that it is 0.5 there. The language is that which the naive Bayes model reads from the text itself.
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from tesserine.llm import langid
 from tesserine.llm.common import freed, slices, table
 from tesserine.llm.quality import labelled, sigmoid
-from tesserine.llm.textnum import POWERS, codes, letters, mix, powers, remainder, words
+from tesserine.llm.textnum import POWERS, codes, letters, mix, powers, remainder, within_bytes, words
 
 BUCKET_BITS, DIM, FILTERS, WIDTHS = 15, 12, 16, (1, 2, 3)
 PAD = 1 << BUCKET_BITS
 #: A word's embedding is the sum of those of the word and of its first letters, if it has more.
 PREFIXES = (4, 5, 7)
 MAX_EACH = 4_000
+#: Bytes of the sample's word buckets that reach the driver, 16 a word.
+MAX_BYTES = 96 << 20
 #: Toxic rows of a language below which the common threshold holds.
 LEAST_OF_LANG = 30
 #: Bins of a logit's unit in the counts that the thresholds come from, and the largest logit there.
@@ -178,7 +180,7 @@ def threshold(logit: np.ndarray, y: np.ndarray, cost: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        lang_col: str = "lang", max_each: int = MAX_EACH) -> tuple[Cnn, langid.Model]:
+        lang_col: str = "lang", max_each: int = MAX_EACH, max_bytes: int = MAX_BYTES) -> tuple[Cnn, langid.Model]:
     """The classifier and the language model, learnt from the labelled documents."""
     own = labelled(labels, label_col)
     n = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
@@ -203,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     def aside(ids: np.ndarray) -> np.ndarray:  # a fifth, for the thresholds
         return ids * 2654435761 % 4294967296 % 5 == 0
 
-    rows = chosen.select("doc_id", "y", "text").mapInArrow(freed(run), "doc_id long, y int, ids binary").toPandas()
+    rows = within_bytes(chosen.select("doc_id", "y", "text").mapInArrow(freed(run), "doc_id long, y int, ids binary"), "ids", max_bytes)
     rows = rows[~aside(rows["doc_id"].to_numpy(np.int64))].sort_values(["doc_id", "ids"], ignore_index=True)
     y = rows["y"].to_numpy(np.float32)
     got = np.array([(y == 0).sum(), (y == 1).sum()])

@@ -67,3 +67,52 @@ def test_thresholds_come_from_all_labels(spark):
     assert {"", "en", "xx"} <= set(model.shift)
     found = {r.doc_id: r.score >= 0.5 for r in toxicity.score(frame, model, langs).collect()}
     assert np.mean([found[k] == bool(bad) for k, _, _, bad in rows]) > 0.97
+
+
+def test_gradient():
+    """Of the log loss by every parameter, against differences."""
+    rng = np.random.default_rng(2)
+    model = toxicity.Cnn.__new__(toxicity.Cnn)
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    p = model.p = {"E": rng.normal(size=(toxicity.PAD + 1, toxicity.DIM)), "v": rng.normal(size=n), "d": rng.normal(size=1), "b": rng.normal(size=n) * 0.1}
+    p["E"][toxicity.PAD] = 0
+    for w in toxicity.WIDTHS:
+        p[f"W{w}"] = rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) * 0.3
+    ids, offsets = toxicity.word_ids(["one two three four", "five six", "one seven eight nine ten", ""])
+    first, size, y = offsets[:-1], np.diff(offsets), np.array([1.0, 0, 1, 0])
+    grad = model._grad(ids, first, size, y, rng, keep=1.1)  # nothing dropped, all scaled by 1 / 1.1
+
+    def loss():
+        x = p["E"][ids].sum(axis=1)
+        top = []
+        for w in toxicity.WIDTHS:
+            r = sum(x[o : len(x) - w + 1 + o] @ p[f"W{w}"][o] for o in range(w))
+            top.append(np.stack([r[a : a + n - w + 1].max(axis=0) for a, n in zip(first, size)]))
+        s = np.maximum(np.concatenate(top, axis=1) + p["b"], 0) / 1.1 @ p["v"] + p["d"]
+        return np.mean(np.log1p(np.exp(-np.where(y > 0, s, -s))))
+
+    rows, dense = grad["E"]
+    for name in ("v", "d", "b", "W1", "W3", "E"):
+        flat = p[name].reshape(-1)
+        of = np.zeros(p["E"].shape) if name == "E" else np.asarray(grad[name])
+        if name == "E":
+            of[rows] = dense
+        picks = rng.choice(rows, 5) * toxicity.DIM if name == "E" else rng.integers(0, len(flat), 5)
+        for k in picks:
+            was, eps = flat[k], 1e-6
+            flat[k] = was + eps
+            up = loss()
+            flat[k] = was - eps
+            down = loss()
+            flat[k] = was
+            assert abs((up - down) / (2 * eps) - of.reshape(-1)[k]) < 1e-4
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    from tesserine.llm.textnum import within_bytes
+
+    rows = spark.createDataFrame([(k, b"x" * (1000 if k % 10 else 100_000)) for k in range(100)], "doc_id long, x binary")
+    assert len(within_bytes(rows, "x", 2_000_000)) == 100
+    some = within_bytes(rows, "x", 20_000)
+    assert 10 <= len(some) <= 20 and set(some["x"].map(len)) == {1000}
+    assert len(within_bytes(rows, "x", 100)) == 0 and len(within_bytes(rows.limit(0), "x", 100)) == 0
