@@ -73,7 +73,7 @@ class Lists:
         up = weight > 0
         met = self.places == own
         best, score, depth = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype), 0
-        left = n - int(met.sum())
+        total = left = n - int(met.sum())
         while left:
             stop = min(n, depth + step)
             fresh = np.zeros(n, bool)
@@ -94,7 +94,7 @@ class Lists:
                 break
             depth, step = stop, step * 2
         order = np.lexsort((best, -score))[:k]
-        return self.ids[best[order]], score[order], n - left
+        return self.ids[best[order]], score[order], total - left
 
 
 def _matrix(column, dims: int) -> np.ndarray:
