@@ -96,18 +96,24 @@ class Model:
         return best, score
 
 
+def draw(rows: DataFrame, per_lang: int) -> tuple[list[str], DataFrame]:
+    """The languages of ``rows`` (doc_id, lang and others, without nulls), and about ``per_lang`` rows of each."""
+    sizes = rows.groupBy("lang").count().collect()
+    if not sizes:
+        return [], rows
+    buckets = 1 << 20
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(buckets, -(-per_lang * buckets // r["count"])))])[F.col("lang")]
+    return sorted(r["lang"] for r in sizes), rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(buckets)) < share)
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         per_lang: int = PER_LANG) -> Model:
     """Learn from all rows given that have an id and a language."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = own.groupBy("lang").count().collect()
-    langs = sorted(r["lang"] for r in sizes)
+    langs, drawn = draw(own, per_lang)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)))
-    buckets = 1 << 20
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(buckets, -(-per_lang * buckets // r["count"])))])[F.col("lang")]
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(buckets)) < share)
 
     def count(batches):
         import pyarrow as pa

@@ -187,11 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     buckets = 1 << 20
     share = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, min(buckets, max_each * buckets // max(1, n.get(y, 0))))])[F.col("y")]
     own = own.withColumn("drawn", F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(buckets)) < share)
-    drawn = own.filter("drawn")
+    # a fifth of the drawn, for the thresholds
+    own = own.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0)
+    drawn = own.filter("drawn AND NOT aside").select("doc_id", "y")
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     chosen = cols.join(F.broadcast(drawn), "doc_id")
-    every = cols.join(own, "doc_id")
-    langs = langid.fit(every, "text", "lang", per_lang=2 * max_each)
+    # texts meet only samples, which are bounded and so broadcast: neither here nor below do they cross a shuffle
+    known = cols.filter("lang IS NOT NULL").select("doc_id", "lang").join(own.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    _, spoken = langid.draw(known, 2 * max_each)
+    langs = langid.fit(cols.join(F.broadcast(spoken.select("doc_id")), "doc_id"), "text", "lang", per_lang=2 * max_each)
 
     def run(batches):
         import pyarrow as pa
@@ -202,11 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 raw = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), batch.column("y").slice(first, len(texts)), pa.array(raw, pa.binary())], ["doc_id", "y", "ids"])
 
-    def aside(ids: np.ndarray) -> np.ndarray:  # a fifth, for the thresholds
-        return ids * 2654435761 % 4294967296 % 5 == 0
-
     rows = within_bytes(chosen.select("doc_id", "y", "text").mapInArrow(freed(run), "doc_id long, y int, ids binary"), "ids", max_bytes)
-    rows = rows[~aside(rows["doc_id"].to_numpy(np.int64))].sort_values(["doc_id", "ids"], ignore_index=True)
+    rows = rows.sort_values(["doc_id", "ids"], ignore_index=True)
     y = rows["y"].to_numpy(np.float32)
     got = np.array([(y == 0).sum(), (y == 1).sum()])
     weight = np.array([n.get(0, 0), n.get(1, 0)]) / np.maximum(got, 1)
@@ -226,15 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             model, langs = sent.value
             names = [*langs.langs, "und"]
             for batch in batches:
-                new = ~np.asarray(batch.column("drawn")) | aside(np.asarray(batch.column("doc_id")))
-                batch = batch.filter(pa.array(new, pa.bool_()))
-                for first, texts in slices(batch, "text", 2 << 20):
+                for first, texts in slices(batch, "text", 1 << 20):
                     texts = texts.to_pylist()
                     bins = np.floor(np.clip(model.logits(*word_ids(texts)), -MOST, MOST) * BINS).astype(np.int32)
                     best, _ = langs.score(texts)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in best], pa.string()), pa.array(bins), batch.column("y").slice(first, len(texts))], ["lang", "bin", "y"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array([names[k] for k in best], pa.string()), pa.array(bins)], ["doc_id", "lang", "bin"])
 
-        found = every.select("doc_id", "y", "drawn", "text").mapInArrow(freed(count), "lang string, bin int, y int")
+        found = cols.select("doc_id", "text").mapInArrow(freed(count), "doc_id long, lang string, bin int")
+        found = found.join(own.filter("aside OR NOT drawn").select("doc_id", "y"), "doc_id")
         counts = found.groupBy("lang", "bin", "y").agg(F.count("*").alias("n")).toPandas()
         model.calibrate(counts.sort_values(["lang", "bin", "y"], ignore_index=True), n)
     return model, langs
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Cnn, langs: langid.Model, id_col: str = "doc_i
         import pyarrow as pa
 
         for batch in batches:
-            for first, texts in slices(batch, "text", 2 << 20):
+            for first, texts in slices(batch, "text", 1 << 20):
                 found = known.value[0].score(texts.to_pylist(), known.value[1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(found)], ["doc_id", "score"])
 
