@@ -4,10 +4,14 @@
    MinHash values each. Two texts of similarity 0.8 share a key with probability 0.99995, more similar
    ones with more.
 2. Texts that share a key are candidates: all pairs under a key of at most ``small`` texts; under a key
-   of more, each text with up to ``PIVOTS`` texts of that key, so that pairs grow with the texts.
+   of more, at first each text with up to ``PIVOTS`` texts of that key, so that pairs grow with the texts.
 3. Candidates are checked on the whole sets. First each text's pair with its least partner, then
    every other pair whose texts the first links have not joined already.
-4. Connected components of the links; the row with the least id of each stays.
+4. A key of more than ``small`` texts that still holds several components: each text outside its largest
+   component meets every text of another component, in cells of ``CHUNK`` by ``BLOCK`` texts, as a byte of
+   each MinHash value. Only pairs that agree nearly as often as ``least`` demands go to the check; a pair of
+   that similarity fails to with a probability below 1e-7.
+5. Connected components of the links; the row with the least id of each stays.
 
 Nulls and edge cases: a text without words, empty or null, is like no other and stays; fewer words than a
 shingle make one shingle; a null id is the least of a component only where there is no other; repeated rows
@@ -26,6 +30,8 @@ from tesserine.llm.simhash import components
 SEED = 42
 BANDS, PER_BAND = 25, 5
 PIVOTS = 8
+#: Texts of a cell: of those outside the key's largest component, and of all of the key.
+CHUNK, BLOCK = 256, 4096
 
 
 class _Hashes(dict):
@@ -61,26 +67,27 @@ def shingles(text: str, shingle: int = 5) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS keys for each set; no set may be empty."""
+def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set a row of BANDS keys, and a byte of each MinHash value; no set may be empty."""
     rng = np.random.default_rng(11)
     masks = rng.integers(0, 1 << 64, BANDS * PER_BAND, dtype=np.uint64)
     odds = rng.integers(0, 1 << 64, BANDS * PER_BAND, dtype=np.uint64) | np.uint64(1)
-    out = np.empty((len(sets), BANDS), np.uint64)
+    out, marks = np.empty((len(sets), BANDS), np.uint64), np.empty((len(sets), BANDS * PER_BAND), np.uint8)
     if not sets:
-        return out
+        return out, marks
     size = np.array([len(s) for s in sets])
     flat, first = np.concatenate(sets), np.cumsum(size) - size
     for band in range(BANDS):
         key = np.full(len(sets), band, np.uint64)
         for k in range(band * PER_BAND, (band + 1) * PER_BAND):
-            key = _mix(key) + np.minimum.reduceat((flat ^ masks[k]) * odds[k], first)
+            low = np.minimum.reduceat((flat ^ masks[k]) * odds[k], first)
+            key, marks[:, k] = _mix(key) + low, _mix(low) >> np.uint64(56)
         out[:, band] = _mix(key)
-    return out
+    return out, marks
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, keys (none without words), n (size of the set) and row of every document."""
+    """doc_id, keys and marks (none without words), n (size of the set) and row of every document."""
 
     def run(batches):
         import pyarrow as pa
@@ -89,18 +96,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
             for first, texts in slices(batch, "text", 2 << 20):
                 sets = [shingles(t, shingle) for t in texts.to_pylist()]
                 n = np.array([len(s) for s in sets], np.int64)
-                keys = band_keys([s for s in sets if len(s)]).ravel().view(np.int64)
+                keys, marks = band_keys([s for s in sets if len(s)])
+                keys, marks = keys.ravel().view(np.int64), iter(marks)
                 ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
+                marks = pa.array([next(marks).tobytes() if k else None for k in n], pa.binary())
                 own = [batch.column(c).slice(first, len(texts)) for c in ("doc_id", "row")]
-                yield pa.RecordBatch.from_arrays([own[0], pa.ListArray.from_arrays(ends, pa.array(keys)), pa.array(n), own[1]], ["doc_id", "keys", "n", "row"])
+                yield pa.RecordBatch.from_arrays([own[0], pa.ListArray.from_arrays(ends, pa.array(keys)), marks, pa.array(n), own[1]], ["doc_id", "keys", "marks", "n", "row"])
 
     keep = tuple(docs.columns)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_of(docs, keep))
-    return cols.mapInArrow(freed(run), with_row("doc_id long, keys array<long>, n long", docs, keep))
+    return cols.mapInArrow(freed(run), with_row("doc_id long, keys array<long>, marks binary, n long", docs, keep))
 
 
-def _candidates(rows: DataFrame, small: int, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of places, a < b, that share a key and whose sizes allow ``least``."""
+def _candidates(rows: DataFrame, small: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of places, a < b, that share a key and whose sizes allow ``least``; and
+    place, n, key and m of each text under a key of m > 1 texts."""
     bands = scratch(rows.select("place", "n", F.explode("keys").alias("key")), "bands")
     sizes = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = scratch(bands.join(sizes, "key"), "shared")
@@ -111,7 +121,45 @@ def _candidates(rows: DataFrame, small: int, least: float) -> DataFrame:
     others = few.select("key", F.col("place").alias("other"), F.col("n").alias("m2"))
     both = few.join(others, "key").filter("place > other").unionByName(many.join(pivots, "key").filter("place <> other"))
     both = both.filter(F.least("n", "m2") >= F.lit(least - 1e-9) * F.greatest("n", "m2"))
-    return scratch(both.selectExpr("least(place, other) a", "greatest(place, other) b").distinct(), "candidates")
+    return scratch(both.selectExpr("least(place, other) a", "greatest(place, other) b").distinct(), "candidates"), shared
+
+
+def _apart(many: DataFrame, marks: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of places, a < b, of different components that share a key and agree in nearly as
+    many MinHash values as texts of similarity ``least``. ``many``: place, n and key; ``roots``: components()."""
+    many = many.join(roots.select(F.col("a").alias("place"), F.col("b").alias("root")), "place", "left")
+    many = many.withColumn("root", F.coalesce("root", "place"))
+    held = many.groupBy("key", "root").agg(F.count("*").alias("c"))
+    held = held.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"))
+    held = held.filter("m > top.c").selectExpr("key", "top.root home", f"ceil((m - top.c) / {CHUNK}) chunks", f"ceil(m / {BLOCK}) blocks")
+    own = scratch(many.join(held, "key").join(marks, "place"), "apart")
+    at = {c: F.pmod(F.xxhash64("place", F.lit(c)), F.col(f"{c}s")) for c in ("chunk", "block")}
+    every = {c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{c}s") - 1)) for c in at}
+    cols = ["key", "place", "n", "root", "marks"]
+    odd = own.filter("root <> home").select(*cols, F.lit(True).alias("odd"), at["chunk"].alias("chunk"), every["block"].alias("block"))
+    rest = own.select(*cols, F.lit(False).alias("odd"), every["chunk"].alias("chunk"), at["block"].alias("block"))
+    wide = BANDS * PER_BAND
+    agree = int(wide * least - 5.5 * (wide * least * (1 - least)) ** 0.5)
+
+    def run(cell):
+        import pyarrow as pa
+
+        odd = cell.column("odd").to_numpy()
+        marks = np.frombuffer(b"".join(cell.column("marks").to_pylist()), np.uint8).reshape(-1, wide)
+        place, n, root = (cell.column(c).to_numpy() for c in ("place", "n", "root"))
+        side, size, whose, others = place[~odd], n[~odd], root[~odd], marks[~odd]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in np.flatnonzero(odd):
+            fit = (whose != root[k]) & (np.minimum(size, n[k]) >= (least - 1e-9) * np.maximum(size, n[k]))
+            hit = side[fit][(others[fit] == marks[k]).sum(axis=1) >= agree]
+            a.append(np.minimum(hit, place[k]))
+            b.append(np.maximum(hit, place[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    found = odd.unionByName(rest).groupBy("key", "chunk", "block").applyInArrow(run, "a long, b long")
+    out = scratch(found.distinct(), "agreeing")
+    drop_scratch(own)
+    return out
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -137,7 +185,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    small: int = 16) -> DataFrame:
     """The rows of ``docs`` but for near copies: of each component the one with the least id stays."""
     rows = scratch(_keyed(docs, id_col, text_col, shingle).withColumn("place", F.monotonically_increasing_id()), "rows")
-    pairs = _candidates(rows.select("place", "n", "keys"), small, least)
+    pairs, shared = _candidates(rows.select("place", "n", "keys"), small, least)
 
     def run(batches):
         import pyarrow as pa
@@ -147,18 +195,32 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 raw = [shingles(t, shingle).tobytes() for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("place").slice(first, len(texts)), pa.array(raw, pa.binary())], ["place", "hashes"])
 
-    wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "wanted")
-    texts = rows.select("place", F.col("row")[text_col].cast("string").alias("text")).join(wanted, "place")
-    sets = scratch(texts.mapInArrow(freed(run), "place long, hashes binary"), "sets")
+    def sets_of(pairs):
+        wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "wanted")
+        texts = rows.select("place", F.col("row")[text_col].cast("string").alias("text")).join(wanted, "place")
+        out = scratch(texts.mapInArrow(freed(run), "place long, hashes binary"), "sets")
+        drop_scratch(wanted)
+        return out
+
+    sets = sets_of(pairs)
     first = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, least)
     roots = components(first)
+    rooted = pairs
     for side in ("a", "b"):
         own = roots.select(F.col("a").alias(side), F.col("b").alias(f"root_{side}"))
-        pairs = pairs.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    more = _linked(pairs.filter("root_a <> root_b").select("a", "b"), sets, least)
-    drop_scratch(sets, wanted, roots)
-    roots = components(first.unionByName(more))
-    drop_scratch(first, more)
+        rooted = rooted.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    more = _linked(rooted.filter("root_a <> root_b").select("a", "b"), sets, least)
+    drop_scratch(sets, pairs, roots)
+    links = first.unionByName(more)
+    roots = components(links)
+    late = _apart(shared.filter(F.col("m") > small).select("place", "n", "key"), rows.select("place", "marks"), roots, least)
+    drop_scratch(shared)
+    if not late.isEmpty():
+        sets = sets_of(late)
+        links = links.unionByName(_linked(late, sets, least))
+        drop_scratch(sets, roots)
+        roots = components(links)
+    drop_scratch(first, more, late)
     member = roots.selectExpr("a place", "b root").union(roots.selectExpr("b place", "b root").distinct())
     member = scratch(member.join(rows.select("place", "doc_id"), "place"), "members")
     best = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("place"))).alias("best"))

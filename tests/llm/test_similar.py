@@ -84,6 +84,22 @@ def test_one_large_group(spark, small):
     assert sorted(r.doc_id for r in found.collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("chunk, block", [(256, 4096), (3, 5)])
+def test_chain_under_large_keys(spark, monkeypatch, chunk, block):
+    """Each text is like its neighbours only, and few are like a pivot."""
+    monkeypatch.setattr(similar, "PIVOTS", 1)
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = []
+    for base in range(2):
+        long = [f"w{x}" for x in rng.integers(0, 50_000, 700)]
+        rows += [(100 * base + k, " ".join(long[8 * k : 8 * k + 200])) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similar.one_of_similar(frame, small=1)
+    assert sorted(r.doc_id for r in found.collect()) == brute(rows) == [0, 100]
+
+
 def test_edges(spark):
     found = [r.doc_id for r in similar.one_of_similar(docs(spark)).collect()]
     assert sorted(found, key=str) == sorted([1, 2, 3, 4, 5, 6, None, 8], key=str)
