@@ -8,9 +8,10 @@
 3. Candidates are checked on the whole sets. First each text's pair with its least partner, then
    every other pair whose texts the first links have not joined already.
 4. A key of more than ``small`` texts that still holds several components: each text outside its largest
-   component meets every text of another component, in cells of ``CHUNK`` by ``BLOCK`` texts, as a byte of
-   each MinHash value. Only pairs that agree nearly as often as ``least`` demands go to the check; a pair of
-   that similarity fails to with a probability below 1e-7.
+   component meets every text of another component, in cells of about ``CHUNK`` by ``BLOCK`` shingles. Whole
+   sets are compared there, of texts that agree in nearly as many MinHash values as ``least`` demands (a pair
+   of that similarity fails to with a probability below 1e-7), and only links leave a cell, one for each
+   text and component.
 5. Connected components of the links; the row with the least id of each stays.
 
 Nulls and edge cases: a text without words, empty or null, is like no other and stays; fewer words than a
@@ -30,8 +31,8 @@ from tesserine.llm.simhash import components
 SEED = 42
 BANDS, PER_BAND = 25, 5
 PIVOTS = 8
-#: Texts of a cell: of those outside the key's largest component, and of all of the key.
-CHUNK, BLOCK = 256, 4096
+#: Shingles of a cell: of the texts outside the key's largest component, and of all its texts.
+CHUNK, BLOCK = 1 << 18, 1 << 20
 
 
 class _Hashes(dict):
@@ -124,20 +125,23 @@ def _candidates(rows: DataFrame, small: int, least: float) -> tuple[DataFrame, D
     return scratch(both.selectExpr("least(place, other) a", "greatest(place, other) b").distinct(), "candidates"), shared
 
 
-def _apart(many: DataFrame, marks: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of places, a < b, of different components that share a key and agree in nearly as
-    many MinHash values as texts of similarity ``least``. ``many``: place, n and key; ``roots``: components()."""
+def _apart(many: DataFrame, marks: DataFrame, roots: DataFrame, least: float, sets_of) -> DataFrame:
+    """Links (a, b), a < b, of similarity ``least`` between texts of different components that share a key: of
+    each text at least one to every component that it is so linked to. ``many``: place, n and key;
+    ``roots``: components(); ``sets_of``: the sets of a table's places."""
     many = many.join(roots.select(F.col("a").alias("place"), F.col("b").alias("root")), "place", "left")
     many = many.withColumn("root", F.coalesce("root", "place"))
-    held = many.groupBy("key", "root").agg(F.count("*").alias("c"))
-    held = held.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"))
-    held = held.filter("m > top.c").selectExpr("key", "top.root home", f"ceil((m - top.c) / {CHUNK}) chunks", f"ceil(m / {BLOCK}) blocks")
-    own = scratch(many.join(held, "key").join(marks, "place"), "apart")
+    held = many.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    held = held.groupBy("key").agg(F.max(F.struct("c", "root", "w")).alias("top"), F.sum("c").alias("m"), F.sum("w").alias("w"))
+    held = held.filter("m > top.c").selectExpr("key", "top.root home", f"ceil((w - top.w) / {CHUNK}) chunks", f"ceil(w / {BLOCK}) blocks")
+    own = scratch(many.join(held, "key"), "apart")
+    sets = sets_of(own.select("place").distinct())
+    full = own.join(marks, "place").join(sets, "place")
     at = {c: F.pmod(F.xxhash64("place", F.lit(c)), F.col(f"{c}s")) for c in ("chunk", "block")}
     every = {c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{c}s") - 1)) for c in at}
-    cols = ["key", "place", "n", "root", "marks"]
-    odd = own.filter("root <> home").select(*cols, F.lit(True).alias("odd"), at["chunk"].alias("chunk"), every["block"].alias("block"))
-    rest = own.select(*cols, F.lit(False).alias("odd"), every["chunk"].alias("chunk"), at["block"].alias("block"))
+    cols = ["key", "place", "n", "root", "marks", "hashes"]
+    odd = full.filter("root <> home").select(*cols, F.lit(True).alias("odd"), at["chunk"].alias("chunk"), every["block"].alias("block"))
+    rest = full.select(*cols, F.lit(False).alias("odd"), every["chunk"].alias("chunk"), at["block"].alias("block"))
     wide = BANDS * PER_BAND
     agree = int(wide * least - 5.5 * (wide * least * (1 - least)) ** 0.5)
 
@@ -147,18 +151,26 @@ def _apart(many: DataFrame, marks: DataFrame, roots: DataFrame, least: float) ->
         odd = cell.column("odd").to_numpy()
         marks = np.frombuffer(b"".join(cell.column("marks").to_pylist()), np.uint8).reshape(-1, wide)
         place, n, root = (cell.column(c).to_numpy() for c in ("place", "n", "root"))
-        side, size, whose, others = place[~odd], n[~odd], root[~odd], marks[~odd]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        hashes = [np.frombuffer(x, np.uint64) for x in cell.column("hashes").to_pylist()]
+        side = np.flatnonzero(~odd)
+        size, whose, others = n[side], root[side], marks[side]
+        a, b = [], []
         for k in np.flatnonzero(odd):
             fit = (whose != root[k]) & (np.minimum(size, n[k]) >= (least - 1e-9) * np.maximum(size, n[k]))
-            hit = side[fit][(others[fit] == marks[k]).sum(axis=1) >= agree]
-            a.append(np.minimum(hit, place[k]))
-            b.append(np.maximum(hit, place[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            joined = set()
+            for other in side[fit][(others[fit] == marks[k]).sum(axis=1) >= agree]:
+                if root[other] in joined:
+                    continue
+                both = len(np.intersect1d(hashes[k], hashes[other], assume_unique=True))
+                if both >= (least - 1e-9) * (n[k] + n[other] - both):
+                    joined.add(root[other])
+                    a.append(min(place[k], place[other]))
+                    b.append(max(place[k], place[other]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     found = odd.unionByName(rest).groupBy("key", "chunk", "block").applyInArrow(run, "a long, b long")
-    out = scratch(found.distinct(), "agreeing")
-    drop_scratch(own)
+    out = scratch(found, "late")
+    drop_scratch(own, sets)
     return out
 
 
@@ -195,14 +207,14 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 raw = [shingles(t, shingle).tobytes() for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("place").slice(first, len(texts)), pa.array(raw, pa.binary())], ["place", "hashes"])
 
-    def sets_of(pairs):
-        wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "wanted")
+    def sets_of(places):
+        wanted = scratch(places, "wanted")
         texts = rows.select("place", F.col("row")[text_col].cast("string").alias("text")).join(wanted, "place")
         out = scratch(texts.mapInArrow(freed(run), "place long, hashes binary"), "sets")
         drop_scratch(wanted)
         return out
 
-    sets = sets_of(pairs)
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct())
     first = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, least)
     roots = components(first)
     rooted = pairs
@@ -213,13 +225,11 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     drop_scratch(sets, pairs, roots)
     links = first.unionByName(more)
     roots = components(links)
-    late = _apart(shared.filter(F.col("m") > small).select("place", "n", "key"), rows.select("place", "marks"), roots, least)
+    late = _apart(shared.filter(F.col("m") > small).select("place", "n", "key"), rows.select("place", "marks"), roots, least, sets_of)
     drop_scratch(shared)
     if not late.isEmpty():
-        sets = sets_of(late)
-        links = links.unionByName(_linked(late, sets, least))
-        drop_scratch(sets, roots)
-        roots = components(links)
+        drop_scratch(roots)
+        roots = components(links.unionByName(late))
     drop_scratch(first, more, late)
     member = roots.selectExpr("a place", "b root").union(roots.selectExpr("b place", "b root").distinct())
     member = scratch(member.join(rows.select("place", "doc_id"), "place"), "members")

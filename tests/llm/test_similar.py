@@ -84,7 +84,7 @@ def test_one_large_group(spark, small):
     assert sorted(r.doc_id for r in found.collect()) == brute(rows)
 
 
-@pytest.mark.parametrize("chunk, block", [(256, 4096), (3, 5)])
+@pytest.mark.parametrize("chunk, block", [(1 << 18, 1 << 20), (600, 1000)])
 def test_chain_under_large_keys(spark, monkeypatch, chunk, block):
     """Each text is like its neighbours only, and few are like a pivot."""
     monkeypatch.setattr(similar, "PIVOTS", 1)
