@@ -4,8 +4,8 @@ names and transactions.
 A log has one row per operation: ``oid`` (the object), ``seq`` (its unique order) and what the
 operation carries. Operations whose effects combine (latest value, sums, layers) are plain
 aggregations, which combine before they shuffle. What depends on the order runs over ranges of the order
-(operators/ranges.py), so that no task holds an object. Only compare-and-set and the contents of a
-flow gather an object's log in one task.
+(operators/ranges.py), so that no task holds an object. Only compare-and-set and reading a flow
+as one string gather an object's log in one task.
 """
 
 from __future__ import annotations
@@ -228,16 +228,33 @@ def flow_read_range(chunks: DataFrame, offset: int, size: int) -> DataFrame:
     return flow_contents(near.withColumn("data", F.substr("data", (lo + 1).cast("int"), (hi - lo).cast("int"))))
 
 
-def flow_inject(data: Column, offset: int, more: str) -> Column:
-    return F.concat(F.substring(data, 1, offset), F.lit(more), F.substring(data, offset + 1, 1 << 30))
+def flow_edit(chunks: DataFrame, at: int, size: int, more: str = "") -> DataFrame:
+    """The chunks of each flow once ``size`` characters from ``at`` on have given way to ``more``, which a flow
+    that does not reach ``at`` has at its end. Chunks are cut where they lie, so no flow is gathered. The
+    new seq orders what comes before, ``more`` and what comes after."""
+    inside = lambda x: F.least(F.greatest(x, F.lit(0)), F.length("data")).cast("int")
+    head = F.left("data", inside(F.lit(at) - F.col("offset")))
+    tail = F.substr("data", inside(F.lit(at + size) - F.col("offset")) + 1)
+    cut = F.array(*[F.struct(F.struct(F.lit(k).alias("part"), "seq").alias("seq"), d.alias("data")) for k, d in ((0, head), (2, tail))])
+    rows = flow_offsets(chunks).select("oid", F.inline(cut)).filter("data <> ''")
+    place = F.struct(F.lit(1).alias("part"), F.lit(None).cast(chunks.schema["seq"].dataType).alias("seq"))
+    return rows.unionByName(chunks.select("oid").distinct().select("oid", place.alias("seq"), F.lit(more).alias("data")))
 
 
-def flow_write(data: Column, offset: int, more: str) -> Column:
-    return F.concat(F.substring(data, 1, offset), F.lit(more), F.substring(data, offset + 1 + len(more), 1 << 30))
+def flow_inject(chunks: DataFrame, at: int, more: str) -> DataFrame:
+    return flow_edit(chunks, at, 0, more)
 
 
-def flow_remove(data: Column, offset: int, size: int) -> Column:
-    return F.concat(F.substring(data, 1, offset), F.substring(data, offset + 1 + size, 1 << 30))
+def flow_write(chunks: DataFrame, at: int, more: str) -> DataFrame:
+    return flow_edit(chunks, at, len(more), more)
+
+
+def flow_remove(chunks: DataFrame, at: int, size: int) -> DataFrame:
+    return flow_edit(chunks, at, size)
+
+
+def flow_truncate(chunks: DataFrame, size: int) -> DataFrame:
+    return flow_edit(chunks, size, 1 << 40)
 
 
 # -- bitmaps: oid, bit -------------------------------------------------------------------------------------------

@@ -285,12 +285,12 @@ def flow_read(spark, sf):
 
 
 for _name, _f, _sql in (
-    ("flow_inject", lambda d: objects.flow_inject(d, 10, "<<x>>"), "left(data, 10) || '<<x>>' || substring(data, 11)"),
-    ("flow_write", lambda d: objects.flow_write(d, 10, "<<x>>"), "left(data, 10) || '<<x>>' || substring(data, 16)"),
-    ("flow_remove", lambda d: objects.flow_remove(d, 10, 20), "left(data, 10) || substring(data, 31)"),
-    ("flow_truncate", lambda d: F.left(d, F.lit(50)), "left(data, 50)"),
+    ("flow_inject", lambda c: objects.flow_inject(c, 10, "<<x>>"), "left(data, 10) || '<<x>>' || substring(data, 11)"),
+    ("flow_write", lambda c: objects.flow_write(c, 10, "<<x>>"), "left(data, 10) || '<<x>>' || substring(data, 16)"),
+    ("flow_remove", lambda c: objects.flow_remove(c, 10, 20), "left(data, 10) || substring(data, 31)"),
+    ("flow_truncate", lambda c: objects.flow_truncate(c, 50), "left(data, 50)"),
 ):
-    query(_name, f"WITH {FLOW} SELECT oid, {_sql} AS data FROM c")(lambda spark, sf, f=_f: objects.flow_contents(_chunks(spark, sf)).select("oid", f(F.col("data")).alias("data")))
+    query(_name, f"WITH {FLOW} SELECT oid, {_sql} AS data FROM c")(lambda spark, sf, f=_f: objects.flow_contents(f(_chunks(spark, sf))))
 
 
 # -- bitmaps ---------------------------------------------------------------------------------------------------

@@ -44,6 +44,22 @@ def test_deques_against_model(spark):
     assert {o: [r.v for r in rows if r.oid == o] for o in left} == {o: list(x) for o, x in left.items()}
 
 
+def test_flow_edits_cut_chunks(spark):
+    rng = random.Random(6)
+    rows = [(oid, k, rng.choice(["", None, "ab", "cdefg", "\u00e9\u4e2d" * 4])) for oid in range(6) for k in range(oid * 9)]
+    rows += [(7, 0, None), (8, 0, ""), (9, 0, "x" * 12), (9, 0 + 1, "y")]
+    chunks = spark.createDataFrame(rows, "oid long, seq long, data string")
+    whole = defaultdict(str)
+    for oid, _, data in rows:
+        whole[oid] += data or ""
+    for at, size, more in ((10, 0, "<<x>>"), (10, 5, "<<x>>"), (3, 20, ""), (0, 1, "z"), (12, 1 << 40, "")):
+        edited = objects.flow_edit(chunks, at, size, more)
+        like = {oid: x[:at] + more + x[at + size :] for oid, x in whole.items()}
+        assert {r.oid: r.data for r in objects.flow_contents(edited).collect()} == like
+    twice = objects.flow_inject(objects.flow_truncate(chunks, 20), 4, "--")
+    assert {r.oid: r.data for r in objects.flow_contents(twice).collect()} == {oid: x[:20][:4] + "--" + x[:20][4:] for oid, x in whole.items()}
+
+
 def test_numbers(spark):
     log = [("set", 5), ("mul", 3), ("mul", -10), ("add", 7), ("set", 4), ("add", -9), ("mul", 2)]
     rows = [(1, k, op, v) for k, (op, v) in enumerate(log)]
