@@ -3,9 +3,10 @@
 1. Every text gives a 64-bit fingerprint of its word shingles; equal fingerprints collapse to one.
 2. A vantage-point tree is built from a bounded sample of the fingerprints (``tree_sample``). It only
    decides where a fingerprint goes, so the sample affects balance and not the result. A
-   fingerprint's home is one leaf; where it lies so near to a boundary that the triangle
-   inequality cannot exclude a partner on the far side, it also visits that side as a query.
-   A leaf of more than ``dense`` rows is divided by a tree of its own points, and so on.
+   fingerprint's home is one leaf; where it lies inside a boundary, so near to it that the triangle
+   inequality cannot exclude a partner outside, it also visits the outside as a query. Those outside
+   do not visit the inside, as a pair need meet only once; a query goes wherever a partner can be.
+   A leaf of more than ``dense`` squared comparisons is divided by a tree of its own points, and so on.
 3. Each leaf compares its home fingerprints with each other and with its visitors, and keeps a
    spanning star of what is linked. Only a leaf that no tree divides, as its points are a ball of very
    many near copies, is not compared pairwise: each member emits itself and its neighbours at distance
@@ -82,16 +83,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def build_tree(points: np.ndarray, leaves: int, bits: int, tries: int = 12) -> list[tuple]:
     """Nodes (vantage point, radius, inside, outside); a child below zero is leaf -child - 1.
 
-    Of several vantage points and radii near the median, a node takes the one with the fewest
-    points within ``bits`` of its boundary. Node 0 is the root; no nodes mean one leaf."""
+    A part of over one and a half times its share of the points, one of ``leaves``, is divided. Of several
+    vantage points and radii near the median, a node takes the one with the fewest
+    points within ``bits`` of its boundary; where these are over three fifths of all, a division would
+    double the points and spare few comparisons, and there is none. Node 0 is the root; no nodes mean
+    one leaf."""
     rng = np.random.default_rng(7)
     nodes: list[tuple] = []
     count = 0
 
-    def split(own: np.ndarray, share: int) -> int:
+    def split(own: np.ndarray) -> int:
         nonlocal count
         best = None
-        if share > 1 and len(own) >= 8:
+        if 2 * leaves * len(own) > 3 * len(points) and len(own) >= 8:
             for vp in rng.choice(own, tries):
                 d = np.bitwise_count(own ^ vp).astype(np.int64)
                 for mu in {int(np.quantile(d, q)) for q in (0.4, 0.5, 0.6)}:
@@ -100,23 +104,24 @@ def build_tree(points: np.ndarray, leaves: int, bits: int, tries: int = 12) -> l
                         cost = int(((d > mu - bits) & (d <= mu + bits)).sum())
                         if best is None or cost < best[0]:
                             best = cost, vp, mu
-        if best is None:
+        if best is None or best[0] * 5 > 3 * len(own):
             count += 1
             return -count
         at = len(nodes)
         nodes.append(())
         _, vp, mu = best
         d = np.bitwise_count(own ^ vp)
-        nodes[at] = (np.uint64(vp), mu, split(own[d <= mu], (share + 1) // 2), split(own[d > mu], share // 2))
+        nodes[at] = (np.uint64(vp), mu, split(own[d <= mu]), split(own[d > mu]))
         return at
 
-    split(points, leaves)
+    split(points)
     return nodes
 
 
 def assign(nodes: list[tuple], points: np.ndarray, bits: int, home: np.ndarray | None = None):
     """(index, leaf, whether home) of every leaf that each point must reach; ``home`` tells which points
-    are not visitors already."""
+    are not visitors already. Two points within ``bits``, of which one at least is home, meet in a leaf that
+    is the home of one of them."""
     out_i, out_leaf, out_home = [], [], []
     every = np.arange(len(points))
     stack = [(0 if nodes else -1, every, np.ones(len(points), bool) if home is None else home)]
@@ -134,7 +139,7 @@ def assign(nodes: list[tuple], points: np.ndarray, bits: int, home: np.ndarray |
         near = d <= mu
         into = (home & near) | (~home & (d - bits <= mu))
         stack.append((inside, idx[into], home[into]))
-        over = np.where(home & ~near, True, d + bits > mu)
+        over = d + bits > mu
         stack.append((outside, idx[over], (home & ~near)[over]))
     return np.concatenate(out_i), np.concatenate(out_leaf), np.concatenate(out_home)
 
@@ -225,37 +230,32 @@ def leaves(distinct: DataFrame, bits: int, leaf_points: int, tree_sample: int, d
     """(tables of leaf, fp and home whose leaves are to be compared, tables of leaves that no tree divides,
     the scratch tables that both read).
 
-    The first tree comes from a sample of all fingerprints. A leaf of more than ``dense`` rows gets a
-    tree of a sample of its own, and so on, ``at_once`` leaves at a time, each with its share of
-    ``tree_sample`` points. Not divided is a leaf whose tree would make more than three rows of one, or
-    leave over three quarters of them together: a ball of points within a few bits."""
+    The first tree comes from a sample of all fingerprints. A leaf whose homes and rows make more than
+    ``dense`` squared comparisons gets a tree of a sample of its own homes, and so on, ``at_once`` leaves at a
+    time, each with its share of ``tree_sample`` points. Each node leaves a quarter of the sample on either
+    side, so this ends. Not divided is a leaf whose tree has no node: a ball of points within a few bits."""
     todo = [(distinct.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("home")), {0: distinct.count()})]
-    done, balls, made, first, buckets = [], [], [], 1, 1 << 30
+    done, balls, made, first, buckets, root = [], [], [], 1, 1 << 30, True
     while todo:
         rows, sizes = todo.pop()
         n = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("leaf")]
         share = max(32, tree_sample // len(sizes))
-        drawn = rows.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(buckets)) * n.cast("double") < float(share * buckets))
+        drawn = rows.filter("home").filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(buckets)) * n.cast("double") < float(share * buckets))
         found = drawn.select("leaf", "fp").distinct().limit(2 * tree_sample).toPandas().groupby("leaf")["fp"]
         sample = {k: np.sort(v.to_numpy(np.int64)).view(np.uint64) for k, v in found}
-        trees: dict[int, list[tuple]] = {}
-        for leaf, count in sizes.items():
-            own = sample.get(leaf, np.zeros(0, np.uint64))
-            nodes = build_tree(own, max(1, count // leaf_points), bits)
-            if count > dense and nodes:
-                sub = assign(nodes, own, bits)[1]
-                if len(sub) > 3 * len(own) or np.bincount(sub).max() > 0.75 * len(own):
-                    nodes = []
-            if nodes or count <= dense:
-                trees[leaf] = nodes
-        whole = [k for k in sizes if k not in trees]
+        none = np.zeros(0, np.uint64)
+        trees = {k: build_tree(sample.get(k, none), max(1 if root else 2, count // leaf_points), bits) for k, count in sizes.items()}
+        whole = [k for k, count in sizes.items() if not trees[k] and (not root or count > dense)]
+        root = False
         if whole:
             balls.append(rows.filter(F.col("leaf").isin(whole)))
+            trees = {k: x for k, x in trees.items() if k not in whole}
         if trees:
             placed = scratch(_dealt(rows.filter(F.col("leaf").isin(list(trees))), trees, first, bits), "leaves")
             made.append(placed)
             first += sum(len(x) + 1 for x in trees.values())
-            over = [(r.leaf, r["count"]) for r in placed.groupBy("leaf").count().filter(F.col("count") > dense).collect()]
+            counts = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+            over = [(r.leaf, r.homes) for r in counts.filter(F.col("n") * F.col("homes") > dense * dense).collect()]
             done.append(placed.filter(~F.col("leaf").isin([k for k, _ in over])) if over else placed)
             for a in range(0, len(over), at_once):
                 part = dict(over[a : a + at_once])

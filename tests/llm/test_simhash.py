@@ -73,3 +73,29 @@ def test_components_of_long_chains(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = simhash.components(edges.union(edges.selectExpr("a + 1000", "b + 1000"))).collect()
     assert sorted((r.a, r.b) for r in found) == [(k, 0) for k in range(1, 301)] + [(k + 1000, 1000) for k in range(1, 301)]
+
+
+def test_scattered_points_are_divided_and_not_a_ball(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    fps = np.concatenate([base, base[:600] ^ np.uint64(5), base[300:900] ^ np.uint64(1 << 40)])
+    rows = [(int(i), int(f)) for i, f in enumerate(fps)]
+    frame = spark.createDataFrame(rows, "doc_id long, fp long")
+    distinct = frame.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    done, balls, _ = simhash.leaves(distinct, 2, leaf_points=20, tree_sample=65_536, dense=400)
+    assert not balls
+    assert all(r.n * r.homes <= 400**2 for x in done for r in x.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).collect())
+    assert sum(x.filter("home").count() for x in done) == len(np.unique(fps))
+    assert got(frame.join(simhash.near_groups(frame, leaf_points=20, dense=400), "fp")) == brute(rows)
+
+
+def test_near_pairs_meet_at_a_home():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ np.uint64(1 << 7), base ^ np.uint64(3 << 20)]))
+    i, leaf, home = simhash.assign(simhash.build_tree(fps, 40, 2), fps, 2)
+    at, homes = [set() for _ in fps], {int(k): int(x) for k, x in zip(i[home], leaf[home], strict=True)}
+    for k, x in zip(i.tolist(), leaf.tolist(), strict=True):
+        at[k].add(x)
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2, 1))
+    assert len(a) >= 4000 and all(homes[int(y)] in at[x] or homes[int(x)] in at[y] for x, y in zip(a.tolist(), b.tolist(), strict=True))
