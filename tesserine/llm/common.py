@@ -128,14 +128,16 @@ class Encoder:
     white-space separated chunks one after another. A column's distinct chunks are looked up; a
     new chunk of Latin-1 characters is cut into the tokenizer's own units (runs of letters,
     digits, runs of other signs), of which each new one goes to the library; any other new chunk
-    goes there whole. Before each slice, the memories of chunks and of units start anew once they hold more than
+    goes there whole. New chunks are cut, looked up and put together many at a time, as one text. Before each slice, the memories of chunks and of units start anew once they hold more than
     ``keep`` and ``keep_units`` bytes.
     """
 
     #: Chunks whose units the pattern below finds as the tokenizer does.
     PLAIN = re.compile("[!-~\xdf-\xf6\xf8-\xff\xc0-\xd6\xd8-\xde]+")
     LETTERS = "a-z\xdf-\xf6\xf8-\xff"
-    UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+    UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|\n|[^{LETTERS}0-9\n]+")
+    #: What stands for the line break between two chunks; no id is as large.
+    BREAK = b"\xff" * 4
 
     #: Bytes of an entry besides its text and ids: two objects and a place in a table.
     ENTRY = 190
@@ -146,7 +148,7 @@ class Encoder:
 
         self.tokenizer, self.keep, self.keep_units = Tokenizer.from_file(path), keep, keep_units
         self.known: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {"\n": self.BREAK}
         self.held = self.held_units = 0
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # the ids that end a unit
@@ -174,24 +176,19 @@ class Encoder:
 
     def _learn(self, fresh: list[str]) -> None:
         for k in range(0, len(fresh), 5_000):
-            plain, whole, wanted = [], [], {}
-            for c in fresh[k : k + 5_000]:
-                if self.PLAIN.fullmatch(c) and "<|" not in c:
-                    found = self.UNITS.findall(c.lower())
-                    plain.append((c, found))
-                    for u in found:
-                        if u not in self.units:
-                            wanted[u] = None
-                else:
-                    whole.append(c)
-            self._learn_units(list(wanted))
-            self.held_units += sum(map(len, wanted)) * 2 + self.ENTRY * len(wanted)
-            self.held += sum(map(len, fresh[k : k + 5_000])) * 2 + self.ENTRY * len(fresh[k : k + 5_000])
-            get, known = self.units.__getitem__, self.known
-            for c, found in plain:
-                known[c] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
-            if whole:
-                known.update(zip(whole, self._encode(whole), strict=True))
+            part = fresh[k : k + 5_000]
+            plain = [c for c in part if self.PLAIN.fullmatch(c) and "<|" not in c]
+            if plain:
+                found = self.UNITS.findall("\n".join(plain).lower())
+                wanted = [u for u in dict.fromkeys(found) if u not in self.units]
+                self._learn_units(wanted)
+                self.held_units += sum(map(len, wanted)) * 2 + self.ENTRY * len(wanted)
+                coded = b"".join(map(self.units.__getitem__, found)).split(self.BREAK)
+                self.known.update(zip(plain, coded, strict=True))
+            if len(plain) < len(part):
+                whole = [c for c in part if c not in self.known]
+                self.known.update(zip(whole, self._encode(whole), strict=True))
+            self.held += sum(map(len, part)) * 2 + self.ENTRY * len(part)
 
     def encode(self, texts):
         """(ids as uint32, offsets) of an Arrow array of texts without nulls; no end ids."""
@@ -202,11 +199,11 @@ class Encoder:
         if self.held > self.keep:
             self.known, self.held = {}, 0
         if self.held_units > self.keep_units:
-            self.units, self.held_units = {}, 0
+            self.units, self.held_units = {"\n": self.BREAK}, 0
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         bounds = np.asarray(lists.offsets).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
         self._learn([w for w in words if w not in self.known])
         parts = list(map(self.known.__getitem__, words))
         flat = np.frombuffer(b"".join(parts), "<u4")
@@ -219,7 +216,7 @@ class Encoder:
 
 
     def forget(self) -> None:
-        self.known, self.units, self.held, self.held_units = {}, {}, 0, 0
+        self.known, self.units, self.held, self.held_units = {}, {"\n": self.BREAK}, 0, 0
 
 
 _encoders: dict[str, Encoder] = {}

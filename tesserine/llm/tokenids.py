@@ -49,18 +49,29 @@ RESULT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # -- grammar ----------------------------------------------------------------
 
 
-def _choose(keys: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The pairs (as left << 32 | right, sorted) to replace in one round: the most frequent ones
-    such that no id is a left member of one and a right member of another, which keeps their
-    places apart. The id of a pair of equal ids is in no other pair."""
+#: Places of the table that tells which pairs were frequent.
+PLACES = 1 << 18
+
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    """A place of the table for each pair; several pairs may share one."""
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).view(np.int64)
+
+
+def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (as left << 32 | right, sorted) that occur ``least`` times, and how often they do."""
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count = np.diff(np.append(first, len(keys)))
-    often = np.flatnonzero(count >= least)
-    if not len(often):
-        return keys[:0]
-    often = often[np.argsort(-count[often], kind="stable")[:most]]
-    pairs = keys[first[often]]
+    often = count >= least
+    return keys[first[often]], count[often]
+
+
+def _choose(pairs: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """The frequent pairs to replace in one round, sorted: the most frequent ones
+    such that no id is a left member of one and a right member of another, which keeps their
+    places apart. The id of a pair of equal ids is in no other pair."""
+    pairs = pairs[np.argsort(-count, kind="stable")[:most]]
     lefts, rights, chosen = set(), set(), []
     for key, a, b in zip(pairs.tolist(), (pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True):
         if a not in rights and b not in lefts and (a != b or a not in lefts and a not in rights):
@@ -73,25 +84,35 @@ def _choose(keys: np.ndarray, least: int, most: int) -> np.ndarray:
 def compress(ids: np.ndarray, least: int = 6, rounds: int = 24, most: int = 4096) -> bytes:
     """Payload of one block. ``least``: occurrences that make a rule worth its 12 bytes. A round replaces up to
     ``most`` pairs at once; rounds end where no pair occurs ``least`` times, after ``rounds``, or once a round
-    shortens the sequence by less than 0.4 per cent."""
+    shortens the sequence by less than 0.4 per cent.
+
+    A pair that is too rare in one round never grows frequent, as replacing takes places from it; so a round
+    looks only at the places of pairs that were frequent before or hold a new symbol (``live``)."""
     base = int(ids.max()) + 1 if len(ids) else 0
     s = ids.astype(np.uint32)
     left, right, lengths = [], [], [np.ones(base, np.uint32)]
     size = base
+    live = np.arange(len(s) - 1)
     for _ in range(rounds):
         if len(s) < 2 * least:
             break
-        keys = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        pairs = _choose(keys, least, most)
-        if not len(pairs):
+        keys = (s[live].astype(np.uint64) << np.uint64(32)) | s[live + 1]
+        places = _place(keys)
+        full = np.flatnonzero(np.bincount(places, minlength=PLACES)[places] >= least)  # other pairs occur less often
+        live, keys, places = live[full], keys[full], places[full]
+        if not len(keys):
+            break
+        frequent, count = _frequent(keys, least)
+        if not len(frequent):
             break
+        pairs = _choose(frequent, count, most)
         a, b = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        is_left, is_right = np.zeros(size, bool), np.zeros(size, bool)
-        is_left[a], is_right[b] = True, True
-        at = np.flatnonzero(is_left[s[:-1]] & is_right[s[1:]])
-        rank = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
-        hit = pairs[rank] == keys[at]
-        at, rank = at[hit], rank[hit]
+        asked = np.zeros(PLACES, bool)
+        asked[_place(pairs)] = True
+        hit = np.flatnonzero(asked[places])
+        rank = np.minimum(np.searchsorted(pairs, keys[hit]), len(pairs) - 1)
+        same = pairs[rank] == keys[hit]
+        at, rank = live[hit[same]], rank[same]
         twin = a[rank] == b[rank]
         if twin.any():  # in a run of one id, every other place
             runs = at[twin]
@@ -101,8 +122,17 @@ def compress(ids: np.ndarray, least: int = 6, rounds: int = 24, most: int = 4096
         s[at] = (size + rank).astype(np.uint32)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
+        asked[:] = False
+        asked[_place(frequent)] = True
+        mark = np.zeros(len(s), bool)
+        mark[live] = asked[places]
+        mark = mark[keep]
         shrunk = len(at) / len(s)
         s = s[keep]
+        new = at - np.arange(len(at))
+        mark[new] = True
+        mark[np.maximum(new - 1, 0)] = True
+        live = np.flatnonzero(mark[:-1])
         known = np.concatenate(lengths)
         left.append(a)
         right.append(b)

@@ -55,3 +55,46 @@ def test_runs_of_one_id():
     mixed = np.concatenate([np.repeat(np.array([3, 9], np.uint32), 501), np.arange(50, dtype=np.uint32), np.full(77, 9, np.uint32)])
     assert (tokenids.decompress(tokenids.compress(mixed, least=2)) == mixed).all()
     assert tokenids.read_slice(payload, 99_990, 10).tolist() == [7] * 10
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=300))
+def test_no_frequent_pair_is_left(ids):
+    payload = tokenids.compress(np.array(ids, np.uint32), least=2, rounds=1000)
+    *_, symbols = tokenids._parts(payload)
+    pairs, last = {}, {}
+    for k, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+        if last.get(pair) != k - 1 or pair[0] != pair[1]:  # places that do not overlap
+            pairs[pair], last[pair] = pairs.get(pair, 0) + 1, k
+    assert len(symbols) < 4 or max(pairs.values(), default=0) < 2
+
+
+def test_rare_pairs_are_not_looked_at_again(monkeypatch):
+    rng = np.random.default_rng(2)
+    ids = rng.zipf(1.3, 100_000).clip(max=40_000).astype(np.uint32)
+    asked, frequent = [], tokenids._frequent
+    monkeypatch.setattr(tokenids, "_frequent", lambda keys, least: asked.append(len(keys)) or frequent(keys, least))
+    assert (tokenids.decompress(tokenids.compress(ids)) == ids).all()
+    assert len(asked) > 2 and asked[0] < len(ids) - 1 and sum(asked[2:]) < 0.7 * len(ids) * len(asked[2:])
+
+
+def test_new_chunks_are_cut_together():
+    import pyarrow as pa
+
+    from tesserine.llm.common import Encoder, tokenizer_path
+
+    enc, calls = Encoder(tokenizer_path()), []
+
+    class Counted:
+        def findall(self, text, units=Encoder.UNITS):
+            calls.append(text)
+            return units.findall(text)
+
+    enc.UNITS = Counted()
+    texts = ["it's we'll x' 's t'", "O'RE É×÷ß naïve'd 12 '", "<|endoftext|> 日本 a<|b '’s", "", " ", "it's 's we'll 't'"]
+    for _ in range(2):
+        ids, bounds = enc.encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [plain(t)[:-1].tolist() for t in texts]
+    assert len(calls) == 1
+    enc.forget()
+    assert enc.encode(pa.array(texts, pa.large_string()))[0].tolist() == ids.tolist()
